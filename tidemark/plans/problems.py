@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.operators.normalise_times import spelled_otherwise
+from tidemark.functions.instants import BLANKS, DAY_US
+from tidemark.operators.intervals import merged_periods
+from tidemark.operators.normalise_times import instants, session_dates, spelled_otherwise
+from tidemark.operators.regular_grid import regular_series
+from tidemark.operators.spikes import implausible
+from tidemark.sources.scratch import materialise
 from tidemark.sources.tables import table
 
 
@@ -19,5 +25,72 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelled_otherwise(sources, table(spark, sf_dir, "feeds"))
 
 
-QUERIES = {"p4_found": p4_found}
+def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regular five-minute series of every ticker and New York date, missing periods imputed and marked."""
+    ticks = table(spark, sf_dir, "ticks").select("ticker", "ts", "price", "size", "feed").where("price > 0 and size > 0")
+    read = instants(ticks, table(spark, sf_dir, "feeds"), "ts", "us")
+    return regular_series(read, "ticker", "us", "price", "size").withColumnRenamed("series", "ticker")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The missing five-minute periods of every ticker and New York date."""
+    return p5_grid(spark, sf_dir).where("filled").select("ticker", "slot_start")
+
+
+def pair_key(c: str) -> Column:
+    """Pair ids are the same if equal after trimming and upper-casing."""
+    return F.upper(F.btrim(F.col(c), F.lit(BLANKS)))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous holding periods of every pair and the gaps between them."""
+    feeds = table(spark, sf_dir, "feeds")
+    rows = table(spark, sf_dir, "positions").select(pair_key("pair_id").alias("pair_id"), "entry_ts", "exit_ts", "feed")
+    rows = instants(instants(rows, feeds, "entry_ts", "start_us"), feeds, "exit_ts", "end_us")
+    return merged_periods(rows, "pair_id", "start_us", "end_us")
+
+
+#: How far away a spike lies, in typical steps, and how long a stuck run is.
+SPIKE_LIMITS = {"bars|close": 20.0, "bars|volume": 10.0, "ticks|price": 20.0}
+STUCK_RUNS = {"bars|close": ("sessions", 5), "bars|volume": ("sessions", 5), "ticks|price": ("readings", 10)}
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that can't be right for their ticker: spikes, stuck values, impossible values."""
+    feeds = table(spark, sf_dir, "feeds")
+    ticks = table(spark, sf_dir, "ticks").select("tick_id", "ticker", "ts", "price", "feed")
+    ticks = ticks.where("ticker is not null and price is not null and not isnan(price)")
+    us = F.col("us")
+    local = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), "America/New_York"))
+    ticks = (
+        instants(ticks, feeds, "ts", "us").where(us.isNotNull())
+        .withColumn("local", local)
+        .select(
+            F.concat(F.lit("ticks|price|"), "ticker").alias("series"), us.alias("ord"), F.col("tick_id").alias("row_id"), F.col("price").alias("value"),
+            F.floor(F.col("local") / DAY_US).cast("int").alias("day"),
+            F.floor(F.col("local") / DAY_US).cast("int").alias("cell_row"),
+            F.floor(F.pmod("local", F.lit(DAY_US)) / 3_600_000_000).cast("int").alias("cell_col"),
+            F.lit(True).alias("by_day"),
+        )
+    )
+    bars = table(spark, sf_dir, "bars").select("bar_id", "ticker", "ts_date", "close", "volume", "feed").where("ticker is not null")
+    day = F.unix_date("date")
+    bars = session_dates(bars, feeds, "ts_date", "date").where("date is not null")
+    bars = bars.select("*", F.explode(F.create_map(F.lit("close"), "close", F.lit("volume"), "volume")).alias("field", "value"))
+    bars = bars.where("value is not null and not isnan(value)").select(
+        F.concat_ws("|", F.lit("bars"), "field", "ticker").alias("series"), day.cast("bigint").alias("ord"), F.col("bar_id").alias("row_id"), "value",
+        day.alias("day"), F.floor((day + 3) / 7).cast("int").alias("cell_row"), F.pmod(day + 3, F.lit(7)).alias("cell_col"),
+        F.lit(False).alias("by_day"),
+    )
+    readings = materialise(ticks.unionByName(bars), "dated")
+    volume = F.col("series").startswith("bars|volume|")
+    impossible = F.when(volume, F.col("value") < 0).otherwise(F.col("value") <= 0)
+    level = F.when(volume, F.log1p("value")).otherwise(F.ln("value"))
+    odd = implausible(readings.where(~impossible).withColumn("level", level), SPIKE_LIMITS, STUCK_RUNS)
+    found = odd.unionByName(readings.where(impossible).select("series", "row_id"))
+    part = F.split("series", r"\|", 3)
+    return found.select(part[0].alias("src_table"), "row_id", part[1].alias("field"))
+
+
+QUERIES = {"p4_found": p4_found, "p5_grid": p5_grid, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
