@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.instants import BLANKS, DAY_US
 from tidemark.operators.intervals import merged_periods
 from tidemark.operators.normalise_times import instants, session_dates, spelled_otherwise
+from tidemark.operators.orphans import OrphanLedger, replay
 from tidemark.operators.regular_grid import regular_series
 from tidemark.operators.spikes import implausible
 from tidemark.sources.scratch import materialise
@@ -50,6 +51,66 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_periods(rows, "pair_id", "start_us", "end_us")
 
 
+def orphan_ledger(spark: SparkSession, sf_dir: str) -> OrphanLedger:
+    """The references of orders, positions and trades to pairs and positions, taken in as they came."""
+    orders, positions = table(spark, sf_dir, "live_orders"), table(spark, sf_dir, "positions")
+    trades, pairs = table(spark, sf_dir, "trades_eow"), table(spark, sf_dir, "pair_list")
+
+    def refs(df: DataFrame, link: str, name: str, key: str, at: str) -> DataFrame:
+        return df.select(
+            F.lit(link).alias("link"), pair_key("pair_id").alias("key"), F.lit(name).alias("src_table"),
+            F.col(key).cast("bigint").alias("row_id"), F.unix_micros(at).alias("at_us"),
+        )
+
+    references = (
+        refs(orders, "pair_list", "live_orders", "order_no", "submitted_ts")
+        .unionByName(refs(positions, "pair_list", "positions", "position_id", "recorded_ts"))
+        .unionByName(refs(trades, "positions", "trades_eow", "trade_id", "snapshot_ts"))
+    )
+    listed = pairs.select(
+        F.lit("pair_list").alias("link"), pair_key("pair_id").alias("key"),
+        F.unix_micros("loaded_ts").alias("from_us"), F.unix_micros("removed_ts").alias("until_us"),
+    ).withColumn("parent_id", F.xxhash64("link", "key", "from_us", "until_us"))
+    # of a pair's positions only the first recorded one matters: reduced before it moves
+    held = (
+        positions.select(F.lit("positions").alias("link"), pair_key("pair_id").alias("key"), F.unix_micros("recorded_ts").alias("from_us"))
+        .groupBy("link", "key").agg(F.min("from_us").alias("from_us"))
+        .withColumn("parent_id", F.xxhash64("link", "key"))
+    )
+    parents = listed.select("parent_id", "link", "key", "from_us").unionByName(held.select("parent_id", "link", "key", "from_us"))
+    return replay(spark, references, parents, listed.select("parent_id", "link", "key", "until_us"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to pairs or positions that don't exist at their time."""
+    return orphan_ledger(spark, sf_dir).waiting().select("src_table", "row_id")
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphan references per table and month, from the ledger's last snapshot."""
+    ledger = orphan_ledger(spark, sf_dir)
+    return ledger.snapshots().where(F.col("epoch") == ledger.epoch - 1).drop("epoch")
+
+
+_P3_SQL = """
+WITH pairs AS (SELECT upper(trim(pair_id)) AS k, loaded_ts, removed_ts FROM pair_list),
+held AS (SELECT upper(trim(pair_id)) AS k, min(recorded_ts) AS since FROM positions GROUP BY 1),
+found AS (
+  SELECT 'live_orders' AS src_table, o.order_no AS row_id, o.submitted_ts AS at_ts FROM live_orders o
+  WHERE o.pair_id IS NOT NULL AND o.submitted_ts IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pairs p
+    WHERE p.k = upper(trim(o.pair_id)) AND p.loaded_ts <= o.submitted_ts AND (p.removed_ts IS NULL OR o.submitted_ts < p.removed_ts))
+  UNION ALL
+  SELECT 'positions', o.position_id, o.recorded_ts FROM positions o
+  WHERE o.pair_id IS NOT NULL AND o.recorded_ts IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pairs p
+    WHERE p.k = upper(trim(o.pair_id)) AND p.loaded_ts <= o.recorded_ts AND (p.removed_ts IS NULL OR o.recorded_ts < p.removed_ts))
+  UNION ALL
+  SELECT 'trades_eow', o.trade_id, o.snapshot_ts FROM trades_eow o
+  WHERE o.pair_id IS NOT NULL AND o.snapshot_ts IS NOT NULL AND NOT EXISTS (SELECT 1 FROM held h
+    WHERE h.k = upper(trim(o.pair_id)) AND h.since <= o.snapshot_ts)
+)
+"""
+
+
 #: How far away a spike lies, in typical steps, and how long a stuck run is.
 SPIKE_LIMITS = {"bars|close": 20.0, "bars|volume": 10.0, "ticks|price": 20.0}
 STUCK_RUNS = {"bars|close": ("sessions", 5), "bars|volume": ("sessions", 5), "ticks|price": ("readings", 10)}
@@ -92,5 +153,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(part[0].alias("src_table"), "row_id", part[1].alias("field"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_grid": p5_grid, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p5_grid": p5_grid, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
+SQL: dict[str, str] = {
+    "p3_found": _P3_SQL + "SELECT src_table, row_id FROM found",
+    "p3_report": _P3_SQL + "SELECT src_table, strftime(at_ts AT TIME ZONE 'UTC', '%Y-%m') AS period, count(*) AS orphans FROM found GROUP BY 1, 2",
+}
