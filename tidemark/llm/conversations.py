@@ -131,7 +131,7 @@ def assemble(rows: DataFrame, slices: int = 3, idle: str = "30 days", delay: str
     (cascade_id, fault, ordered message ids).
 
     The export is laid down in ``slices`` by time of arrival, each is run through the stream with the same
-    checkpoint, and a closing mark then moves the watermark past every open conversation. ``slices`` changes how
+    checkpoint (in the session's state store; for a state beyond the executors' memory that is RocksDB), and a closing mark then moves the watermark past every open conversation. ``slices`` changes how
     the state is built up, not the result. An empty export gives no rows.
     """
     spark = rows.sparkSession
@@ -140,35 +140,25 @@ def assemble(rows: DataFrame, slices: int = 3, idle: str = "30 days", delay: str
     low, high = events.agg(F.min(F.unix_millis("arrived")), F.max(F.unix_millis("arrived"))).head()
     low, high = low or 0, high or 0
     step = pd.Timedelta(idle) + pd.Timedelta(delay)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-
-        def run() -> None:
-            source = spark.readStream.schema(events.schema).parquet(f"{root}/in")
-            out = conversation_stream(source, idle, delay)
-            sink = out.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
-            sink.trigger(availableNow=True).start().awaitTermination()
-
-        at = F.coalesce(F.unix_millis("arrived"), F.lit(low))
-        for k in range(slices):
-            a, b = (low + (high - low) * i // slices for i in (k, k + 1))
-            after = F.lit(True) if k == 0 else at > a
-            events.where(after & (F.lit(True) if k == slices - 1 else at <= b)).write.mode("append").parquet(f"{root}/in")
-            run()
-        for k in (1, 2):  # the mark moves the watermark; the batch after it runs the timers
-            mark = spark.range(1).select(
-                F.lit("").alias("cascade_id"), F.lit(0).cast("bigint").alias("id"), F.timestamp_millis(F.lit(high + k * 2 * int(step.total_seconds() * 1000))).alias("arrived"),
-                F.lit(0).cast("bigint").alias("ns"), F.lit(0).cast("bigint").alias("hash"), F.lit(0).cast("tinyint").alias("who"), F.lit(False).alias("visible"),
-            )
-            mark.write.mode("append").parquet(f"{root}/in")
-            run()
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+    def run() -> None:
+        source = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        out = conversation_stream(source, idle, delay)
+        sink = out.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+        sink.trigger(availableNow=True).start().awaitTermination()
+
+    at = F.coalesce(F.unix_millis("arrived"), F.lit(low))
+    for k in range(slices):
+        a, b = (low + (high - low) * i // slices for i in (k, k + 1))
+        after = F.lit(True) if k == 0 else at > a
+        events.where(after & (F.lit(True) if k == slices - 1 else at <= b)).write.mode("append").parquet(f"{root}/in")
+        run()
+    for k in (1, 2):  # the mark moves the watermark; the batch after it runs the timers
+        mark = spark.range(1).select(
+            F.lit("").alias("cascade_id"), F.lit(0).cast("bigint").alias("id"), F.timestamp_millis(F.lit(high + k * 2 * int(step.total_seconds() * 1000))).alias("arrived"),
+            F.lit(0).cast("bigint").alias("ns"), F.lit(0).cast("bigint").alias("hash"), F.lit(0).cast("tinyint").alias("who"), F.lit(False).alias("visible"),
+        )
+        mark.write.mode("append").parquet(f"{root}/in")
+        run()
     verdicts = spark.read.schema(VERDICTS).parquet(f"{root}/out").where("cascade_id <> ''")
     latest = verdicts.groupBy("cascade_id").agg(F.max_by(F.struct("fault", "ordered"), "version").alias("v"))
     return latest.select("cascade_id", "v.fault", "v.ordered")
