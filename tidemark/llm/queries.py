@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.conversations import assemble, transcripts
+from tidemark.llm.encode import encode_corpus
 from tidemark.llm.nearest import nearest_in_time
 from tidemark.operators.normalise_times import instants
 from tidemark.sources.tables import table
@@ -32,5 +33,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document by the byte-level vocabulary of 50,000."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
