@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.conversations import assemble, transcripts
 from tidemark.llm.encode import encode_corpus
+from tidemark.llm.leakage import leaked_items
 from tidemark.llm.nearest import nearest_in_time
 from tidemark.operators.normalise_times import instants
 from tidemark.sources.tables import table
@@ -38,5 +39,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item or a good part of it, and which item."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "passage")
+
+
+QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
