@@ -1,0 +1,135 @@
+"""Labelled exemplars of template residue, filler, error pages and script notices. All of it is fixed values."""
+
+from __future__ import annotations
+
+from itertools import product
+
+# ---- fixed values: "*" stands for anything that differs from case to case -----------------------------------
+STATUSES = [
+    "Bad Request", "Unauthorized", "Payment Required", "Forbidden", "Not Found", "Method Not Allowed", "Not Acceptable",
+    "Request Timeout", "Conflict", "Gone", "Too Many Requests", "Internal Server Error", "Not Implemented",
+    "Bad Gateway", "Service Unavailable", "Gateway Timeout", "Service Temporarily Unavailable",
+]
+STATUS_PAGES = [
+    "404 {0}", "Error 404 {0}", "HTTP Status 404 {0}", "HTTP error 404 {0}", "404 {0} {0} nginx", "404 {0} {0} gate *",
+    "error code 404 message {0}", "status 404 detail {0} trace *", "status 404 error {0} path *",
+    "Error Code {0} Code RequestId *", "xml version encoding Error Code {0} RequestId *",
+    "That's an error 404. {0}. That's all we know.", "{0} (404)",
+]
+ERROR_PAGES = [
+    "We can't find the page you're looking for.", "It may have moved.", "The page you requested could not be found.",
+    "The report you asked for could not be located.", "The requested URL was not found on this server.",
+    "The engine closed the connection early.", "The server closed the connection before answering.",
+    "Try again in * minutes.", "Please try again later.", "If this goes on, tell the desk and quote *.",
+    "If the problem persists, contact support and quote *.", "Reference *", "Reference id *", "Access denied.",
+    "You do not have permission to view this page.", "You do not have permission to open this notebook.",
+    "Log in to go on.", "Log in to continue.", "Your session has expired.", "You were signed out after * minutes.",
+    "Sign in again to view *.", "Oops! Something went wrong.", "Oops! Something went wrong on our side.", "Oops!", "Whoops, that link is broken.",
+    "Could not load data for *: empty response", "KeyError: '*'", "upstream request failed: reset before headers, id *",
+    "Connection timed out after * ms while fetching the page", "The dashboard is down for maintenance until *",
+    "We are down for scheduled maintenance and will be back shortly.", "Rate limit hit, slow down (* calls).",
+    'ERROR: relation "*" does not exist', "java.lang.IllegalStateException: book * is closed",
+    "at desk.Book.get(Book.java:*)", "Traceback (most recent call last):", "File * line * in *",
+    "This site can't be reached.", "You have been blocked.", "An unexpected error occurred while processing your request.",
+    "La page demandée est introuvable.", "Seite nicht gefunden.", "La página solicitada no existe.",
+    "Su cuenta no tiene acceso a este informe.", "Không tìm thấy trang bạn yêu cầu.", "该页面不存在或已被删除。",
+    "Une erreur est survenue sur le serveur.", "Es ist ein Fehler aufgetreten.",
+]
+SCRIPT_NOTICES = [
+    "This page needs JavaScript to run.", "This site requires JavaScript.", "This page requires scripts to be switched on.",
+    "This page relies on client-side scripting.", "This page does not work without JavaScript.",
+    "This page cannot be shown while scripts are blocked.", "This page is a script-only application.",
+    "This dashboard needs JavaScript to run.", "The notebook does not work without JavaScript.",
+    "Our chart page relies on client-side scripting.", "The equity panel is a script-only application.",
+    "The report viewer requires scripts to be switched on.", "This dashboard cannot be shown while scripts are blocked.",
+    "Then refresh.", "Then reload the page.", "Enable it in your browser settings.", "Please turn it on and reload.", "See the help page for * supported browsers.",
+    "Allow scripts and cookies to continue.", "JavaScript is disabled.", "JavaScript is disabled in your browser.",
+    "Your browser blocks cookies and scripts; allow both to continue.", "Please enable JavaScript to continue.",
+    "Please enable JavaScript and cookies to view this page.", "You need to enable JavaScript to run this app.",
+    "Turn off your script blocker to view *.", "Turn off your ad blocker to view this page.",
+    "Checking your browser before opening the report, this page refreshes by itself.",
+    "Checking your browser before accessing this site.", "Loading, if this takes long, check that scripts are allowed.",
+    "Some panels will not load.", "Scripts are switched off, so nothing can be shown here.",
+    "You need to enable scripts in your browser to see the equity curve.", "Active JavaScript para ver este panel.",
+    "Veuillez activer JavaScript pour afficher ce tableau.", "Vui lòng bật JavaScript để xem bảng.",
+    "请启用 JavaScript 后继续浏览。", "Bitte aktivieren Sie JavaScript, um die Auswertung zu sehen.",
+]
+FILLER_KINDS = ["Draft", "Dummy", "Example", "Mock", "Placeholder", "Sample"]
+FILLER_PARTS = ["body", "caption", "copy", "paragraph", "section", "summary", "text"]
+FILLER_NOTES = [
+    "number *", "to be replaced", "will follow", "goes here", "used to check the layout", "for the second column",
+    "swap before release",
+]
+FILLER = [
+    "Heading one. Heading two. Your summary starts here.", "Heading one. Heading two.", "Your summary starts here.",
+    "Your text here.", "Insert text here.", "Write a catchy intro of about two sentences.",
+    "This is dummy text for layout purposes only.", "The quick brown fox jumps over the lazy dog.",
+    "此处填写正文。", "Aquí va el texto de ejemplo.", "Nội dung mẫu.", "Hier steht später der Bericht.", "Ici votre texte.",
+]
+#: Words of made-up Latin; a window made of them is filler, a single one is not.
+LATIN = (
+    "ad adipiscing aequor aliqua aliquam aliquip amet anim aute cadit campus caret census cillum commodo consectetur "
+    "consequat culpa cupidatat deserunt do dolor dolore dolorem duis ea eiusmod elit enim esse est et etiam eu ex "
+    "excepteur exercitation feria finem fugiat fundus gradus id in incididunt ipsum irure iterum labore laboris laborum "
+    "libra lorem magna manet mercatus minim minuit mollit mox neque nisi non nostrud nulla nullam occaecat officia ordo "
+    "pariatur pecunia pondus porta pretium proident qui quies quis quoque rerum sapien sed semper sint sit sors sponda "
+    "sunt tabula tempor ullamco ut usque vacua valde vel velit venit veniam vestra vitae voluptate"
+).split()
+#: Words typed to fill space; three in a row are filler.
+MASHED = ["abc", "asdf", "bar", "baz", "blah", "foo", "numbers", "qwer", "qwerty", "test", "xxx"]
+#: What stands around a page's content on every page: neither content nor residue.
+CHROME = [
+    "Menu Reports Settings Sign out", "Home Folds Pairs Live Help", "Skip to content", "© research desk",
+    "« back to overview", "Zurück zur Übersicht.", "Home About Contact Privacy", "All rights reserved.",
+]
+#: Names a template's slots go by; in brackets that prose also uses, only these count.
+SLOTS = (
+    "amount|author|beta|company|cost|cost_bps|cost in bps|date|desk|entry_z|exit_ts|first name|fold|fold number|half_life|"
+    "last name|leg_a|leg_b|month|n_trades|name|pair|pair_id|realized_pnl|report.date|reviewer|run_id|ticker|title|"
+    "value|year|your name"
+)
+#: Unfilled placeholders in running text.
+PLACEHOLDERS = [
+    r"\{\{\{?[#/^>&!]?\s*[\w. ]{1,40}\}?\}\}",
+    r"\{%-?\s*[a-z]\w*[^%{}\n]{0,60}%\}",
+    r"<%[=-]?\s*[\w. ]{1,40}%>",
+    r"[$#]\{\s*[\w.]{1,40}\s*\}",
+    r"\{\$[A-Za-z_][\w.]{0,40}\}",
+    r"\$(?:" + SLOTS + r")\$",
+    r"<<\s*[A-Za-z_][\w. ]{0,40}>>",
+    r"&lt;(?:" + SLOTS + r")&gt;",
+    r"(?<!\S):(?:" + SLOTS + r"):(?!\S)",
+    r"(?<!\S)%[sd](?!\S)",
+    r"(?<!\S)XX\.XX(?!\S)",
+    r"(?<!is )(?<!are )(?<!was )(?<!were )(?<!be )(?<!left )(?<!an )(?<!\S)undefined(?!\S)",
+    r"(?<!format )(?<!as )(?<!form )(?<!written )(?<!like )(?<!\S)YYYY-MM-DD(?!\S)",
+    r"(?<![\w\\{$#%])\{\s*(?:\d{1,2}|[A-Za-z_][\w.]{0,40})?\s*\}(?![\w}])",
+    r"%\([A-Za-z_][\w.]{0,40}\)[sdf]",
+    r"\[?(?<![\w%])%[A-Za-z_][\w.]{1,40}%(?![\w%])\]?",
+    r"@@\w{1,40}@@",
+    r"(?<!\w)__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?!\w)",
+    r"(?<![\w])_{4,}(?![\w])",
+    r"\?{3}[\w. ]{1,40}\?{3}",
+    r"\[\s*(?:insert|enter|fill in|add|your|type)\s[^\[\]\n]{1,40}\]",
+    r"\[[^\[\]\n]{1,40}\s[-–—]\s?(?:fill in|to fill|tbd|tbc)\]",
+    r"\[(?:" + SLOTS + r")\s?\?\]",
+    r"\[\[\s*(?:" + SLOTS + r")\s*\]\]",
+    r"\[(?:" + SLOTS + r")\](?!\()",
+    r"<(?:insert|enter|your|add)\s[^<>\n]{1,40}>",
+    r"<[^<>\n/]{1,40}\s(?:goes here|here)>",
+    r"<(?:" + SLOTS + r")>(?![^\n]*</)",
+    r"(?<!\w)(?:TODO|TBD|TBC|FIXME)\s?[:(]\s?(?:" + SLOTS + r")(?!\w)",
+    r"\[(?:DATUM EINFÜGEN|FECHA AQUÍ|à compléter|điền ngày|NOMBRE AQUÍ|hier einfügen|请填写)\]",
+    r"\[object Object\]",
+    r"#(?:REF|NAME|VALUE|DIV/0)[!?]",
+    r"[$€£]#[.,]?#+",
+]
+# ---- end of fixed values ------------------------------------------------------------------------------------
+
+
+def labelled() -> list[tuple[str, str]]:
+    """(label, exemplar) of all phrase exemplars; pages of HTTP statuses and dummy sentences are built from rules."""
+    pages = [page.format(status) for page, status in product(STATUS_PAGES, STATUSES)]
+    dummies = [" ".join(x) for x in product(FILLER_KINDS, FILLER_PARTS, FILLER_NOTES)]
+    parts = {"error": pages + ERROR_PAGES, "scripts": SCRIPT_NOTICES, "filler": dummies + FILLER, "chrome": CHROME}
+    return [(label, e) for label, all_of in parts.items() for e in all_of]

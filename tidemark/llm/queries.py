@@ -8,6 +8,7 @@ from tidemark.llm.conversations import assemble, transcripts
 from tidemark.llm.encode import encode_corpus
 from tidemark.llm.leakage import leaked_items
 from tidemark.llm.nearest import nearest_in_time
+from tidemark.llm.residue import residue_kinds
 from tidemark.operators.normalise_times import instants
 from tidemark.sources.tables import table
 
@@ -44,5 +45,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "passage")
 
 
-QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that show residue where content should be, and of what kind."""
+    return residue_kinds(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that show residue where content should be."""
+    return p10_kinds(spark, sf_dir).select("doc_id")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found,
+    "p10_kinds": p10_kinds, "p10_found": p10_found,
+}
 SQL: dict[str, str] = {}
