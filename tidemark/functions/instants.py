@@ -202,11 +202,11 @@ def with_instant(
     ``zone`` and ``order`` name columns with the row's default zone and its order of all-digit dates with slashes;
     null there makes texts that need them name no instant. A zone or offset in the text counts before the default,
     an offset before a bracketed region. ``canonical``, if given, is a flag column: the text is already exactly
-    ``YYYY-MM-DDTHH:MM:SS.ffffff+00:00``. Null, empty and blank texts give null. ``ambiguous`` decides a local time
+    ``YYYY-MM-DDTHH:MM:SS.ffffff+00:00``. Columns of these names are replaced. Null, empty and blank texts give null. ``ambiguous`` decides a local time
     that occurs twice (``earlier``, ``later``, ``null``), ``nonexistent`` one that is skipped (``shift``, ``null``).
     """
     _check_policy(ambiguous, nonexistent)
-    keep = [c for c in df.columns]
+    keep = [c for c in df.columns if c.lower() not in (out.lower(), (canonical or out).lower())]
     df = _with_clock(_fields(df, text, dates=False), zone, order)
     p, clock = F.col("__p"), F.col(zone)
     local = F.col("__local")
@@ -232,7 +232,7 @@ def with_session_date(
     finer, is the date of its instant in ``session_zone``; any other clock is the source's. Eight digits in a row are
     YYYYMMDD and two-digit years are 20YY. Everything else, null included, is null.
     """
-    keep = [c for c in df.columns]
+    keep = [c for c in df.columns if c.lower() not in (out.lower(), (canonical or out).lower())]
     df = _with_clock(_fields(df, text, dates=True), zone, order)
     p, local, clock = F.col("__p"), F.col("__local"), F.col(zone)
 

@@ -114,7 +114,7 @@ def merged_periods(intervals: DataFrame, entity: str, start: str, end: str, part
         def rows_of(name: str, found) -> pa.RecordBatch:
             e, s, t = found
             return pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(s)), e, pa.array(s, pa.int64()), pa.array(t, pa.int64())], names=["kind", "entity", "start_us", "end_us"]
+                [pa.array([name] * len(s), pa.string()), e, pa.array(s, pa.int64()), pa.array(t, pa.int64())], names=["kind", "entity", "start_us", "end_us"]
             )
 
         for batch in batches:
@@ -125,6 +125,6 @@ def merged_periods(intervals: DataFrame, entity: str, start: str, end: str, part
                 yield rows_of("gap", gaps)
         if any_row and part == final:
             e, s, t = scan.open
-            yield rows_of("period", (pa.array([e]), np.array([s]), np.array([t])))
+            yield rows_of("period", (pa.array([e], pa.string()), np.array([s]), np.array([t])))
 
     return held.mapInArrow(rescan, _OUT.format(kind=kind)).withColumnRenamed("entity", entity)
