@@ -82,7 +82,7 @@ class ExemplarIndex:
             for t in sorted(weight, key=lambda t: (-weight[t], t))[:KEYS]:
                 self.index[t].append(len(self.exemplars))
             open_end = text.rstrip(".'\"").endswith("*")
-            self.exemplars.append((label, weight, len(words), CONTAINED * sum(weight.values()), open_end))
+            self.exemplars.append((label, weight, len(weight), CONTAINED * sum(weight.values()), open_end))
         self.latin, self.mashed = frozenset(LATIN), frozenset(MASHED)
 
     @staticmethod
