@@ -10,6 +10,7 @@ from tidemark.sources.tables import broadcast_if_small
 
 REFERENCES = "link string, key string, src_table string, row_id bigint, at_us bigint"
 PARENTS = "parent_id bigint, link string, key string, from_us bigint"
+SPREAD = "l string, k string, from_us bigint, until_us bigint, s bigint"
 SETTLED = REFERENCES + ", settled int"
 REOPENED = "src_table string, row_id bigint, reopened int"
 DELETIONS = "parent_id bigint, link string, key string, until_us bigint"
@@ -69,8 +70,14 @@ class OrphanLedger:
             F.explode(F.sequence(_span("from_us"), F.greatest(_span(last), _span("from_us")))).alias("s"),
         )
 
-    def _probe(self, refs: DataFrame, index: DataFrame, horizon: int, how: str) -> DataFrame:
-        spread = broadcast_if_small(self._spread(index, horizon))
+    def _held_index(self, name: str, index: DataFrame, horizon: int) -> DataFrame:
+        """The spread index, written once for all probes of this batch; broadcast only if it is counted to be small."""
+        path = f"{self.root}/{name}/{self.epoch}"
+        self._spread(index, horizon).write.parquet(path)
+        return broadcast_if_small(self.spark.read.schema(SPREAD).parquet(path))
+
+    @staticmethod
+    def _probe(refs: DataFrame, spread: DataFrame, how: str) -> DataFrame:
         on = (
             (F.col("link") == F.col("l")) & (F.col("key") == F.col("k")) & (_span("at_us") == F.col("s"))
             & (F.col("from_us") <= F.col("at_us")) & (F.col("at_us") < F.col("until_us"))
@@ -92,20 +99,21 @@ class OrphanLedger:
         again = (settled["src_table"] == undone["src_table"]) & (settled["row_id"] == undone["row_id"]) & (undone["reopened"] > settled["settled"])
         settled = settled.join(undone, again, "left_anti").drop("settled")
         horizon = self._read("arrived", REFERENCES, range(e + 1)).agg(F.max("at_us")).head()[0] or 0
-        index = self._index(all_parents, all_deletions)
+        index = self._held_index("index", self._index(all_parents, all_deletions), horizon)
         # new references probe the whole index
-        orphans = self._probe(fresh, index, horizon, "left_anti")
-        sound = self._probe(fresh, index, horizon, "left_semi")
+        orphans = self._probe(fresh, index, "left_anti")
+        sound = self._probe(fresh, index, "left_semi")
         still = before
         if e:
             # waiting ones need only be held against the parents that have come, as they stand now
-            come = self._index(all_parents.join(new_parents.select("parent_id").distinct(), "parent_id", "left_semi"), all_deletions)
-            still = self._probe(before, come, horizon, "left_anti")
-            sound = sound.unionByName(self._probe(before, come, horizon, "left_semi"))
+            fresh_parents = all_parents.join(new_parents.select("parent_id").distinct(), "parent_id", "left_semi")
+            come = self._held_index("come", self._index(fresh_parents, all_deletions), horizon)
+            still = self._probe(before, come, "left_anti")
+            sound = sound.unionByName(self._probe(before, come, "left_semi"))
             # deletions reopen what lies at or beyond them and has no other support
             cut = new_deletions.groupBy(F.col("link").alias("l"), F.col("key").alias("k")).agg(F.min("until_us").alias("cut"))
             touched = settled.join(cut, (F.col("link") == F.col("l")) & (F.col("key") == F.col("k")) & (F.col("at_us") >= F.col("cut")), "left_semi")
-            self._probe(touched, index, horizon, "left_anti").write.parquet(f"{at}back/{e}")
+            self._probe(touched, index, "left_anti").write.parquet(f"{at}back/{e}")
             back = self._read("back", REFERENCES, range(e, e + 1))
             still = still.unionByName(back)
             back.select("src_table", "row_id", F.lit(e).alias("reopened")).write.parquet(f"{at}reopened/{e}")
