@@ -10,6 +10,7 @@ from tidemark.llm.leakage import leaked_items
 from tidemark.llm.nearest import nearest_in_time
 from tidemark.llm.residue import residue_kinds
 from tidemark.operators.normalise_times import instants
+from tidemark.plans.instants_sql import P2
 from tidemark.sources.tables import table
 
 
@@ -59,4 +60,18 @@ QUERIES = {
     "p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found, "p8_ids": p8_ids, "p9_found": p9_found,
     "p10_kinds": p10_kinds, "p10_found": p10_found,
 }
-SQL: dict[str, str] = {}
+_P1_SQL = r"""
+WITH m AS (
+  SELECT lower(trim(cascade_id)) AS c, message_id AS id, content, lower(trim(role)) AS r,
+    CASE WHEN regexp_matches(message_ts, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.]\d+)?Z$') AND try_cast(substr(message_ts, 1, 19) AS TIMESTAMP) IS NOT NULL
+      THEN substr(message_ts, 1, 19) || rpad(regexp_extract(message_ts, '[.](\d+)Z', 1), 9, '0') END AS t
+  FROM conversations_export WHERE cascade_id IS NOT NULL),
+s AS (SELECT *, CASE WHEN r IN ('user', 'human') THEN 0 WHEN r IN ('assistant', 'bot', 'ai', 'model') THEN 1 WHEN r IN ('tool', 'tool_result', 'function') THEN 2 WHEN r IN ('system', 'developer') THEN 3 END AS who,
+  coalesce(length(regexp_replace(content, '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FEFF}\x{AD}\x{180E}\x{61C}]', '', 'g')), 0) > 0 AS visible FROM m),
+once AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY c, t, content ORDER BY who, id) = 1),
+turns AS (SELECT *, lag(who) OVER w AS before, row_number() OVER w AS k, count(*) OVER (PARTITION BY c) AS n FROM once WHERE visible AND who <= 1 WINDOW w AS (PARTITION BY c ORDER BY t, who, id)),
+v AS (SELECT c, count(*) FILTER (WHERE who = 0) AS users, count(*) FILTER (WHERE who = 1) AS answers, bool_or(k = 1 AND who = 1) AS bad_start, bool_or(k = n AND who = 0) AS bad_end, bool_or(who = 0 AND before = 0) AS bad_pair FROM turns GROUP BY 1),
+b AS (SELECT c, bool_or(who IS NULL OR t IS NULL) AS broken FROM s GROUP BY 1)
+SELECT b.c AS cascade_id FROM b LEFT JOIN v ON v.c = b.c WHERE broken OR coalesce(users, 0) = 0 OR coalesce(answers, 0) = 0 OR bad_start OR bad_end OR bad_pair
+"""
+SQL: dict[str, str] = {"p1_found": _P1_SQL, "p2_found": P2}
