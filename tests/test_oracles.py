@@ -40,7 +40,7 @@ def test_same_as_sql(spark, sf, duck, name):
     assert Counter(tuple(plain(v) for v in row) for row in df.select(*cols).collect()) == wanted
 
 
-@pytest.mark.parametrize("name", ["johansen_trace", "ticker_cap", "kalman_spread", "rebalance_events", "change_points", "factor_residuals", "p4_found", "p5_found", "p6_found", "p7_found"])
+@pytest.mark.parametrize("name", ["johansen_trace", "ticker_cap", "kalman_spread", "rebalance_events", "change_points", "factor_residuals", "engle_granger", "noise_grid", "deflated_ratio", "p4_found", "p5_found", "p6_found", "p7_found"])
 def test_runs(spark, sf, name):
     entry.queries()[name](spark, sf).collect()
 

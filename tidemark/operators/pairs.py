@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import correlation, slope
+
 
 def aligned_pairs(panel: DataFrame, ticker: str = "ticker", ts: str = "ts", value: str = "value") -> DataFrame:
     """All pairs of tickers a < b over the times both have a value: (ticker_a, ticker_b, ts, a, b).
@@ -27,8 +29,8 @@ def pair_statistics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     The principal-component ratio is -v0/v1 of the smallest eigenvector of the 2x2 covariance, in closed form.
     """
     m = pairs.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.regr_slope("a", "b").alias("beta_ols"), F.regr_intercept("a", "b").alias("alpha_ols"),
-        F.corr("a", "b").alias("corr"), F.var_samp("a").alias("va"), F.var_samp("b").alias("vb"), F.covar_samp("a", "b").alias("cab"),
+        F.count("*").alias("n"), slope("a", "b").alias("beta_ols"), (F.avg("a") - slope("a", "b") * F.avg("b")).alias("alpha_ols"),
+        correlation("a", "b").alias("corr"), F.var_samp("a").alias("va"), F.var_samp("b").alias("vb"), F.covar_samp("a", "b").alias("cab"),
         F.avg("a").alias("ma"), F.avg("b").alias("mb"),
     )
     least = (F.col("va") + F.col("vb")) / 2 - F.sqrt(F.pow((F.col("va") - F.col("vb")) / 2, 2) + F.pow("cab", 2))
@@ -42,7 +44,7 @@ def half_life(spread: DataFrame, keys: list[str], order: str, value: str = "spre
     """Half-life of mean reversion: the change regressed on the level before; null where it doesn't revert."""
     w = Window.partitionBy(*keys).orderBy(order)
     s = spread.withColumn("__l", F.lag(value).over(w)).withColumn("__d", F.col(value) - F.col("__l"))
-    k = s.groupBy(*keys).agg(F.regr_slope("__d", "__l").alias("kappa"), F.count("__d").alias("n"))
+    k = s.groupBy(*keys).agg(slope("__d", "__l").alias("kappa"), F.count("__d").alias("n"))
     return k.withColumn("half_life", F.when(F.col("kappa") < 0, -math.log(2) / F.col("kappa")))
 
 

@@ -34,6 +34,20 @@ def rolling(f, x: Column, w: WindowSpec, least: int) -> Column:
     return F.when(F.count(x).over(w) >= least, f(x).over(w))
 
 
+def correlation(a: str | Column, b: str | Column, w: WindowSpec | None = None) -> Column:
+    """Correlation of the rows that have both; null where one of them doesn't vary (the built-in raises there)."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    parts = [F.covar_pop(a, b), F.stddev_pop(F.when(b.isNotNull(), a)), F.stddev_pop(F.when(a.isNotNull(), b))]
+    c, sa, sb = (p.over(w) for p in parts) if w is not None else parts
+    return F.try_divide(c, sa * sb)
+
+
+def slope(y: str | Column, x: str | Column) -> Column:
+    """Least-squares slope of y on x over the rows that have both; null where x doesn't vary."""
+    y, x = (F.col(c) if isinstance(c, str) else c for c in (y, x))
+    return F.try_divide(F.covar_pop(y, x), F.var_pop(F.when(y.isNotNull(), x)))
+
+
 def runs(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
     """Adds ``run``, the number of the run of equal consecutive values (null equals null) within a key."""
     w = over(keys, order)

@@ -11,6 +11,7 @@ from tidemark.operators.normalise_times import instants, session_dates, spelled_
 from tidemark.operators.orphans import OrphanLedger, replay
 from tidemark.operators.regular_grid import regular_series
 from tidemark.operators.spikes import implausible
+from tidemark.plans import instants_sql
 from tidemark.sources.scratch import materialise
 from tidemark.sources.tables import table
 
@@ -155,6 +156,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p5_grid": p5_grid, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
 SQL: dict[str, str] = {
+    "p4_found": instants_sql.P4,
+    "p5_found": instants_sql.P5,
+    "p6_found": instants_sql.P6,
+    "p7_found": instants_sql.P7,
     "p3_found": _P3_SQL + "SELECT src_table, row_id FROM found",
     "p3_report": _P3_SQL + "SELECT src_table, strftime(at_ts AT TIME ZONE 'UTC', '%Y-%m') AS period, count(*) AS orphans FROM found GROUP BY 1, 2",
 }

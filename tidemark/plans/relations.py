@@ -103,7 +103,7 @@ def corr_floor(spark, sf_dir):
     w, p = W.over(PAIR, ["ts"]), log_pairs(spark, sf_dir)
     sec = F.unix_seconds(F.col("ts").cast("timestamp"))
     r = p.select(*PAIR, (F.col("a") - F.lag("a").over(w)).alias("ra"), (F.col("b") - F.lag("b").over(w)).alias("rb"), (sec - F.lag(sec).over(w)).alias("gap"))
-    return r.where("gap <= 7200").groupBy(*PAIR).agg(F.corr("ra", "rb").alias("raw")).where("raw >= -0.05").select(*PAIR, F.round("raw", 6).alias("rho"))
+    return r.where("gap <= 7200").groupBy(*PAIR).agg(W.correlation("ra", "rb").alias("raw")).where("raw >= -0.05").select(*PAIR, F.round("raw", 6).alias("rho"))
 
 
 @query()
@@ -244,7 +244,7 @@ def factor_residuals(spark, sf_dir):
     names = sorted(set(c["i"]) | set(c["j"]))
     m = c.pivot(index="i", columns="j", values="c").reindex(index=names, columns=names).to_numpy()
     m = np.where(np.isnan(m), m.T, m)
-    w = K.principal_residuals(np.nan_to_num(m), 2)
+    w = K.principal_residuals(np.nan_to_num(m), 2) if len(names) > 1 else np.zeros((2, len(names)))
     loadings = spark.createDataFrame([(n, [float(v) for v in w[:, k]]) for k, n in enumerate(names)], "ticker string, w array<double>")
     l = p.join(F.broadcast(loadings), "ticker")
     f = l.groupBy("ts").agg(*[F.sum(F.col("w")[k] * F.col("r")).alias(f"f{k}") for k in (0, 1)])
@@ -262,7 +262,7 @@ def pairwise_rolling_corr(spark, sf_dir):
     # a pair keeps the row of its first day, which has no return: it takes up a frame slot
     a = p.select(F.col("ticker").alias("ticker_a"), "ts", F.col("value").alias("a"))
     b = p.select(F.col("ticker").alias("ticker_b"), "ts", F.col("value").alias("b"))
-    c = a.join(b, "ts").where("ticker_a < ticker_b").select("ts", F.corr("a", "b").over(w).alias("c"), F.count(F.col("a") * F.col("b")).over(w).alias("n"))
+    c = a.join(b, "ts").where("ticker_a < ticker_b").select("ts", W.correlation("a", "b", w).alias("c"), F.count(F.col("a") * F.col("b")).over(w).alias("n"))
     return c.where("n >= 8").groupBy("ts").agg(F.round(F.avg("c"), 6).alias("mean_corr"), F.count("*").alias("pairs"))
 
 
@@ -368,7 +368,7 @@ def sharpe_summary(spark, sf_dir):
     d = table(spark, sf_dir, "trades_eow").where("realized_pnl is not null and not isnan(realized_pnl)").groupBy(F.to_date("snapshot_ts").alias("day"))
     s = d.agg(F.sum("realized_pnl").alias("pnl"), F.sum(F.abs("realized_pnl")).alias("moved")).where("moved > 0")
     return s.agg(
-        F.count("*").alias("days"), F.round(F.avg("pnl") / F.stddev_samp("pnl") * math.sqrt(252), 6).alias("sharpe"), F.round(F.min("pnl"), 4).alias("worst"),
+        F.count("*").alias("days"), F.round(F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")) * math.sqrt(252), 6).alias("sharpe"), F.round(F.min("pnl"), 4).alias("worst"),
         F.round(F.avg((F.col("pnl") > 0).cast("double")), 6).alias("win_rate"),
     )
 
@@ -425,11 +425,11 @@ round(regr_slope(y, x) / sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x
 def impact_regression(spark, sf_dir):
     """Regression with the t-statistic of its slope, from sums alone."""
     l = table(spark, sf_dir, "lineitem").select(F.ln("l_extendedprice").alias("y"), F.ln("l_quantity").alias("x"))
-    slope = F.regr_slope("y", "x")
-    rest = (F.regr_syy("y", "x") - slope * F.regr_sxy("y", "x")) / (F.count("*") - 2)
+    slope = W.slope("y", "x")
+    rest = F.try_divide(F.regr_syy("y", "x") - slope * F.regr_sxy("y", "x"), F.count("*") - 2)
     return l.agg(
         F.count("*").alias("n"), F.round(slope, 8).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"),
-        F.round(F.regr_r2("y", "x"), 8).alias("r2"), F.round(slope / F.sqrt(rest / F.regr_sxx("y", "x")), 6).alias("t"),
+        F.round(F.regr_r2("y", "x"), 8).alias("r2"), F.round(F.try_divide(slope, F.sqrt(F.try_divide(rest, F.regr_sxx("y", "x")))), 6).alias("t"),
     )
 
 

@@ -287,8 +287,8 @@ SELECT ticker, round(regr_slope(close, -back), 6) AS slope, round(regr_slope(clo
 def trend_slope(spark, sf_dir):
     """Linear trend of the last 30 bars, also in deviations over that length."""
     t = hourly_bars(spark, sf_dir).withColumn("back", F.row_number().over(W.over(["ticker"], [F.desc("ts")]))).where("back <= 30")
-    slope = F.regr_slope("close", -F.col("back"))
-    return t.groupBy("ticker").agg(F.round(slope, 6).alias("slope"), F.round(slope * 30 / F.stddev_samp("close"), 6).alias("normalised"))
+    slope = W.slope("close", -F.col("back"))
+    return t.groupBy("ticker").agg(F.round(slope, 6).alias("slope"), F.round(F.try_divide(slope * 30, F.stddev_samp("close")), 6).alias("normalised"))
 
 
 @query(BARS + """, s AS (SELECT ticker, CAST(ts AS DATE) AS day, ts, CASE WHEN volume < 60 THEN NULL ELSE close END AS c FROM bars),
@@ -311,7 +311,7 @@ def hurst(spark, sf_dir):
     b = hourly_bars(spark, sf_dir)
     lags = b.select("ticker", *[(F.lead("close", k).over(w) - F.col("close")).alias(f"d{k}") for k in range(2, 21)])
     wide = lags.groupBy("ticker").agg(F.array(*[F.struct(F.lit(k).alias("lag"), F.stddev_pop(f"d{k}").alias("s")) for k in range(2, 21)]).alias("a"))
-    return wide.select("ticker", F.explode("a").alias("x")).where("x.s > 0").groupBy("ticker").agg(F.round(F.regr_slope(F.ln("x.s"), F.ln("x.lag")), 6).alias("hurst"))
+    return wide.select("ticker", F.explode("a").alias("x")).where("x.s > 0").groupBy("ticker").agg(F.round(W.slope(F.ln("x.s"), F.ln("x.lag")), 6).alias("hurst"))
 
 
 @query(BARS + """SELECT ticker, count(r) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS dev, round(skewness(r), 5) AS skew, round(kurtosis(r), 5) AS kurt,
