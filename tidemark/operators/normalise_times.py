@@ -46,14 +46,20 @@ def spelled_otherwise(sources: list[tuple[str, DataFrame, str, str, str]], feeds
     tables give none. One pass over each table, no shuffle.
     """
     parts = []
-    for name, df, key, text, kind in sources:
-        slim = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("__text"), "feed")
+    for kind in ("instant", "date"):
+        slim = [
+            df.select(F.lit(name).alias("src_table"), F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("__text"), "feed")
+            for name, df, key, text, k in sources
+            if k == kind
+        ]
+        if not slim:
+            continue
+        rows = reduce(DataFrame.unionByName, slim)  # read by one plan, not by one per source
         if kind == "instant":
-            found = instants(slim, feeds, "__text", "utc_us", "__canonical")
+            found = instants(rows, feeds, "__text", "utc_us", "__canonical")
         else:
-            found = session_dates(slim, feeds, "__text", "__date", "__canonical").withColumn(
-                "utc_us", F.unix_date("__date").cast("bigint") * 86_400_000_000
-            )
+            found = session_dates(rows, feeds, "__text", "__date", "__canonical")
+            found = found.withColumn("utc_us", F.unix_date("__date").cast("bigint") * 86_400_000_000)
         found = found.where(F.col("utc_us").isNotNull() & ~F.coalesce("__canonical", F.lit(False)))
-        parts.append(found.select(F.lit(name).alias("src_table"), "row_id", "utc_us"))
+        parts.append(found.select("src_table", "row_id", "utc_us"))
     return reduce(DataFrame.unionByName, parts)

@@ -21,3 +21,10 @@ def broadcast_if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     be a hundred times that in memory.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table over all cores: one of fewer partitions than cores (a small file is a single one) is dealt out
+    before work is done on it; any larger table stays as it is, without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
