@@ -11,7 +11,7 @@ from tidemark.llm.nearest import nearest_in_time
 from tidemark.llm.residue import residue_kinds
 from tidemark.operators.normalise_times import instants
 from tidemark.plans.instants_sql import P2
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest valid tick of each filled order, at most five seconds away."""
     feeds = table(spark, sf_dir, "feeds")
-    ticks = table(spark, sf_dir, "ticks").select("tick_id", "ticker", "ts", "feed", "price").where("price > 0 and not isnan(price)")
+    ticks = spread(table(spark, sf_dir, "ticks").select("tick_id", "ticker", "ts", "feed", "price").where("price > 0 and not isnan(price)"))
     orders = table(spark, sf_dir, "live_orders").select("order_no", "ticker", "filled_ts", "feed").where("filled_ts is not null")
     return nearest_in_time(
         instants(orders, feeds, "filled_ts", "us"), instants(ticks, feeds, "ts", "us"),
@@ -36,19 +36,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and whole texts of all documents."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document by the byte-level vocabulary of 50,000."""
-    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode_corpus(documents(spark, sf_dir), "doc_id", "text")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item or a good part of it, and which item."""
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "passage")
+    return leaked_items(documents(spark, sf_dir), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "passage")
 
 
 def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that show residue where content should be, and of what kind."""
-    return residue_kinds(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return residue_kinds(documents(spark, sf_dir), "doc_id", "text")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
