@@ -13,13 +13,13 @@ from tidemark.operators.regular_grid import regular_series
 from tidemark.operators.spikes import implausible
 from tidemark.plans import instants_sql
 from tidemark.sources.scratch import materialise
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of four tables whose text names a time in another than the canonical spelling."""
     sources = [
-        ("ticks", table(spark, sf_dir, "ticks"), "tick_id", "ts", "instant"),
+        ("ticks", spread(table(spark, sf_dir, "ticks").select("tick_id", "ts", "feed")), "tick_id", "ts", "instant"),
         ("bars", table(spark, sf_dir, "bars"), "bar_id", "ts_date", "date"),
         ("live_orders", table(spark, sf_dir, "live_orders"), "order_no", "filled_ts", "instant"),
         ("positions", table(spark, sf_dir, "positions"), "position_id", "entry_ts", "instant"),
@@ -29,7 +29,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regular five-minute series of every ticker and New York date, missing periods imputed and marked."""
-    ticks = table(spark, sf_dir, "ticks").select("ticker", "ts", "price", "size", "feed").where("price > 0 and size > 0")
+    ticks = spread(table(spark, sf_dir, "ticks").select("ticker", "ts", "price", "size", "feed").where("price > 0 and size > 0"))
     read = instants(ticks, table(spark, sf_dir, "feeds"), "ts", "us")
     return regular_series(read, "ticker", "us", "price", "size").withColumnRenamed("series", "ticker")
 
@@ -121,7 +121,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings that can't be right for their ticker: spikes, stuck values, impossible values."""
     feeds = table(spark, sf_dir, "feeds")
     ticks = table(spark, sf_dir, "ticks").select("tick_id", "ticker", "ts", "price", "feed")
-    ticks = ticks.where("ticker is not null and price is not null and not isnan(price)")
+    ticks = spread(ticks.where("ticker is not null and price is not null and not isnan(price)"))
     us = F.col("us")
     local = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), "America/New_York"))
     ticks = (
@@ -148,7 +148,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     volume = F.col("series").startswith("bars|volume|")
     impossible = F.when(volume, F.col("value") < 0).otherwise(F.col("value") <= 0)
     level = F.when(volume, F.log1p("value")).otherwise(F.ln("value"))
-    odd = implausible(readings.where(~impossible).withColumn("level", level), SPIKE_LIMITS, STUCK_RUNS)
+    odd = implausible(readings.where(~impossible).withColumn("level", level), SPIKE_LIMITS, STUCK_RUNS, written=True)
     found = odd.unionByName(readings.where(impossible).select("series", "row_id"))
     part = F.split("series", r"\|", 3)
     return found.select(part[0].alias("src_table"), "row_id", part[1].alias("field"))
