@@ -82,9 +82,11 @@ SELECT ticker, ts, close, filled FROM f""")
 def outer_align(spark, sf_dir):
     """All tickers on the union of their times, the last value carried forward."""
     b = hourly_bars(spark, sf_dir).select("ticker", "ts", "close")
-    grid = b.select("ticker").distinct().crossJoin(F.broadcast(b.select("ts").distinct()))  # the wide matrix in long form
+    span = F.broadcast(b.agg(F.min("ts").alias("a"), F.max("ts").alias("z")))  # one row
+    hours = F.explode(F.sequence("a", "z", F.expr("interval 1 hour"))).alias("ts")
+    grid = b.select("ticker").distinct().join(span).select("ticker", hours).join(b.select("ts").distinct(), "ts", "left_semi")
     filled = F.last("close", ignorenulls=True).over(W.over(["ticker"], ["ts"], (Window.unboundedPreceding, 0)))
-    return grid.join(b, ["ticker", "ts"], "left").withColumn("filled", filled)
+    return grid.join(b, ["ticker", "ts"], "left").withColumn("filled", filled).select("ticker", "ts", "close", "filled")
 
 
 @query(BARS + """, m AS (SELECT ticker, hour(ts) // 6 AS bucket, median(close) AS mid FROM bars WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1, 2)
