@@ -1,8 +1,10 @@
 """Residue by its kinds, what only talks about it, and the index."""
 
+import math
+
 import pytest
 
-from tidemark.llm.residue import ExemplarIndex, residue_kinds
+from tidemark.llm.residue import ExemplarIndex, exemplar_index, residue_kinds, terms
 
 PLAIN = "The half-life came out at 16.7 days. We looked at the pair again and the stop level held up. Two readers disagreed on the exit rule."
 CASES = [
@@ -56,3 +58,17 @@ def test_table(spark):
     got = sorted(map(tuple, residue_kinds(df, "doc_id", "text").collect()))
     assert [r[0] for r in got] == sorted([i for i, (k, _) in enumerate(CASES) if k] + [6])
     assert residue_kinds(df.limit(0), "doc_id", "text").count() == 0
+
+
+def weights_of(index):
+    return {t: w for _, weight, *_ in index.exemplars for t, w in weight.items()}
+
+
+def test_every_term_has_its_true_frequency(spark):
+    vocabulary = ExemplarIndex.vocabulary() - {"#"}
+    pages = [t for _, t in CASES if t] + ["502 and 404", "We can’t say", "that's all, you’re out", "504", " ".join(sorted(vocabulary - {"4xx"}))]
+    for times in (1, 3):
+        got = exemplar_index(spark.createDataFrame([(t,) for t in pages * times] + [(None,)], "text string"), "text")
+        held = {v: times * sum(v in terms(t) for t in pages) for v in vocabulary}
+        assert held["4xx"] >= 6 * times and min(held.values()) >= times
+        assert weights_of(got) == pytest.approx({t: math.log((times * len(pages) + 1) / (n + 1)) + 1 for t, n in held.items()})

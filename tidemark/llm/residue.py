@@ -185,16 +185,24 @@ class ExemplarIndex:
 
 
 def exemplar_index(documents: DataFrame, text: str) -> ExemplarIndex:
-    """The index with document frequencies counted over all texts. Only the exemplars' own terms are counted, and only
-    their counts (a fixed number) reach the driver."""
-    spark = documents.sparkSession
-    wanted = sorted(ExemplarIndex.vocabulary())
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{IsHan}|[\p{L}\p{M}]+|©|«)"), 1))
-    held = documents.where(F.col(text).isNotNull()).select(F.array_intersect(words, F.lit(wanted)).alias("w"))
-    counts = held.select(F.explode("w").alias("t")).groupBy("t").count()
-    total = spark.createDataFrame([], "t string, count bigint").unionByName(counts).unionByName(held.agg(F.lit(None).cast("string").alias("t"), F.count("*").alias("count")))
-    frequency = {r["t"]: r["count"] for r in total.collect()}
-    return ExemplarIndex(frequency.pop(None), frequency)
+    """The index with document frequencies counted over all texts, by the same ``terms`` that the matching reads. Only
+    the exemplars' own terms are counted, and only their counts (a fixed number) reach the driver."""
+    wanted = frozenset(ExemplarIndex.vocabulary())
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a row per term and task; the null term counts the texts
+        count: dict[str | None, int] = defaultdict(int)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                count[None] += 1
+                for term in wanted.intersection(terms(_ZERO_WIDTH.sub("", t))):
+                    count[term] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["t", "count"])
+
+    held = documents.select(F.col(text)).where(F.col(text).isNotNull())
+    counts = held.mapInArrow(tally, "t string, count bigint").groupBy("t").agg(F.sum("count").alias("count"))
+    frequency = {r["t"]: r["count"] for r in counts.collect()}
+    return ExemplarIndex(frequency.pop(None, 0), frequency)
 
 
 def residue_kinds(documents: DataFrame, key: str, text: str) -> DataFrame:
