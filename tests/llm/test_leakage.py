@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.leakage import SEED, Matcher, SuffixAutomaton, aligned, holds_stretch, leaked_items, words_of
+from tidemark.llm.leakage import SEED, Matcher, SuffixAutomaton, aligned, holds_any_stretch, holds_stretch, leaked_items, words_of
 
 RNG = random.Random(11)
 VOCABULARY = [f"{a}{b}" for a in ("ba", "ke", "mo", "tri", "su", "pla") for b in ("ld", "nner", "sk", "tt", "zing", "ve", "rom")]
@@ -94,3 +94,40 @@ def test_table(spark):
         assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 1), (4, 5)]
     assert leaked_items(df.limit(0), items, "doc_id", "text", "item_id", "passage").count() == 0
     assert leaked_items(df, items.limit(0), "doc_id", "text", "item_id", "passage").count() == 0
+
+
+def test_stretch_beside_a_more_edited_copy():
+    p = [f"w{i}" for i in range(100)]
+    near = [f"x{i}" if i % 4 == 3 else w for i, w in enumerate(p)]
+    m = Matcher([(7, " ".join(p))])
+    assert m.leaked(" ".join(near)) == [] and m.leaked(" ".join(p[40:75])) == [7]
+    assert m.leaked(" ".join([*near, "one", "two", "three", *p[40:75]])) == [7]
+    assert m.leaked(" ".join([*p[40:75], "one", "two", "three", *near])) == [7]
+    assert m.leaked(" ".join([*near, "one", "two", "three", *p[40:69]])) == []
+
+
+def within(passage, text, stretch, one_in):
+    """Brute force: the edit distance of every part of the passage, its ends kept, to its nearest part of the text."""
+    for s in range(len(passage) - stretch + 1):
+        row = [99] + [0 if x == passage[s] else 99 for x in text]
+        for size, w in enumerate(passage[s + 1 :], 2):
+            new = [row[0] + 1]
+            for j, x in enumerate(text, 1):
+                if size >= stretch and w == x and row[j - 1] * one_in <= size:
+                    return True
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (w != x)))
+            row = new
+    return False
+
+
+def test_any_stretch_is_the_brute_force():
+    rng = np.random.default_rng(8)
+    seen = set()
+    for k in range(150):
+        passage = rng.integers(0, 30, 26)
+        text = np.concatenate([np.where(rng.random(26) < rng.uniform(0, 0.5), rng.integers(0, 30, 26), passage), rng.integers(0, 30, 4), passage[: rng.integers(0, 9)]])
+        text = np.delete(text, rng.integers(0, len(text), rng.integers(0, 3)))
+        wanted = within(passage.tolist(), text.tolist(), 8, 4)
+        assert holds_any_stretch(passage, text, 8, 4) == wanted
+        seen.add(wanted)
+    assert seen == {True, False}

@@ -163,6 +163,34 @@ def holds_stretch(steps: np.ndarray, stretch: int = STRETCH, one_in: int = ONE_I
     return bool(((start >= 0) & (score >= lowest[np.maximum(start, 0)])).any())
 
 
+def holds_any_stretch(passage: np.ndarray, text: np.ndarray, stretch: int = STRETCH, one_in: int = ONE_IN) -> bool:
+    """Whether any ``stretch`` passage words or more, first and last of them kept, stand anywhere in a text with at most
+    one in ``one_in`` edited.
+
+    Edit distances of passage[s : s + size] to the nearest part of the text, for all starts ``s`` at once. Sizes are
+    bounded: of a longer stretch one half is within the limit too, and is long enough without the edits at the cut.
+    """
+    n, m = len(passage), len(text)
+    longest = min(2 * -(-stretch * one_in // (one_in - 1)) - 1, n)
+    never, ramp = longest + 1, np.arange(m + 1, dtype=np.int32)
+    starts = np.arange(max(0, n - stretch + 1))
+    d = np.full((len(starts), m + 1), never, np.int32)
+    d[:, 1:][text == passage[starts][:, None]] = 0
+    for size in range(2, longest + 1):
+        # starts whose distance is beyond that of the longest stretch, or that end with the passage, are done
+        alive = (starts + size <= n) & (d.min(axis=1, initial=never) <= longest // one_in)
+        starts, d = starts[alive], d[alive]
+        if not len(starts):
+            return False
+        same = text == passage[starts + size - 1][:, None]
+        if size >= stretch and (d[:, :-1][same] * one_in <= size).any():
+            return True
+        row = d + 1
+        row[:, 1:] = np.minimum(row[:, 1:], d[:, :-1] + ~same)
+        d = np.minimum.accumulate(row - ramp, axis=1) + ramp
+    return False
+
+
 class Matcher:
     """Finds leaked passages in texts. Small enough to broadcast: it grows with the evaluation items alone."""
 
@@ -211,7 +239,9 @@ class Matcher:
         for part in np.split(at, np.flatnonzero(np.diff(at) > reach) + 1):
             # an occurrence begins at most ``reach`` before its last seed and ends so far after its first
             for lo in range(max(0, int(part[0]) - reach), int(part[-1]) + 1, reach):
-                if holds_stretch(aligned(passage, text[lo : lo + 3 * reach]), self.stretch, self.one_in):
+                window = text[lo : lo + 3 * reach]
+                # the best alignment may be that of another, more edited copy beside the stretch
+                if holds_stretch(aligned(passage, window), self.stretch, self.one_in) or holds_any_stretch(passage, window, self.stretch, self.one_in):
                     return True
         return False
 
@@ -221,11 +251,13 @@ def leaked_items(
     stretch: int = STRETCH, one_in: int = ONE_IN, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """(``key``, ``item_key``) of every text that holds, in order, at least ``stretch`` words of an item's passage with
-    at most one word in ``one_in`` changed, dropped or added (see ``words_of`` for what doesn't count).
+    at most one word in ``one_in`` changed, dropped or added (see ``words_of`` for what doesn't count). A stretch
+    begins and ends with kept words.
 
     The passages' suffix automaton gives the longest matching run at every word of a text; runs of three words and
     more are the seeds. A stretch within the limits can't have fewer seeds near one diagonal than ``Matcher.least``,
-    so only texts with that many are aligned, and none is missed. The evaluation items are read by the driver, cut
+    so only texts with that many are aligned; where the best alignment holds none, every part of the passage is
+    compared with the window, so none is missed. The evaluation items are read by the driver, cut
     into blocks of ``block_words`` words and broadcast block by block, so the broadcast has a bound that doesn't
     depend on the corpus; the corpus itself is streamed once per block without a shuffle. Null, empty and blank texts
     and passages match nothing; passages shorter than ``stretch`` can't leak; a repeated row gives its own rows.
