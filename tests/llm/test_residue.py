@@ -72,3 +72,21 @@ def test_every_term_has_its_true_frequency(spark):
         held = {v: times * sum(v in terms(t) for t in pages) for v in vocabulary}
         assert held["4xx"] >= 6 * times and min(held.values()) >= times
         assert weights_of(got) == pytest.approx({t: math.log((times * len(pages) + 1) / (n + 1)) + 1 for t, n in held.items()})
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium",
+        "At vero eos et accusamus et iusto odio dignissimos ducimus qui blanditiis.",
+        "Draft. Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas.",
+        "nam libero tempore cum soluta nobis est eligendi",
+    ],
+)
+def test_general_latin_passages(index, text):
+    assert index.residue(text) == "filler"
+
+
+def test_latin_in_prose_is_content(index):
+    assert index.residue("The motto of the desk is nam libero tempore, and the stop held up in all of the folds.") is None
+    assert index.residue("Vice versa, the pro rata share per diem was set ad hoc; et cetera.") is None

@@ -66,6 +66,39 @@ FILLER = [
     "This is dummy text for layout purposes only.", "The quick brown fox jumps over the lazy dog.",
     "此处填写正文。", "Aquí va el texto de ejemplo.", "Nội dung mẫu.", "Hier steht später der Bericht.", "Ici votre texte.",
 ]
+#: General passages of made-up and classical Latin that templates are filled with; every run of PIECE words is an exemplar.
+LATIN_PASSAGES = [
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
+    "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.",
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.",
+    "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
+    "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam, "
+    "eaque ipsa quae ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo.",
+    "Nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit, sed quia consequuntur magni dolores eos "
+    "qui ratione voluptatem sequi nesciunt.",
+    "Neque porro quisquam est, qui dolorem ipsum quia dolor sit amet, consectetur, adipisci velit, sed quia non numquam "
+    "eius modi tempora incidunt ut labore et dolore magnam aliquam quaerat voluptatem.",
+    "Ut enim ad minima veniam, quis nostrum exercitationem ullam corporis suscipit laboriosam, nisi ut aliquid ex ea "
+    "commodi consequatur?",
+    "Quis autem vel eum iure reprehenderit qui in ea voluptate velit esse quam nihil molestiae consequatur, vel illum qui "
+    "dolorem eum fugiat quo voluptas nulla pariatur?",
+    "At vero eos et accusamus et iusto odio dignissimos ducimus qui blanditiis praesentium voluptatum deleniti atque "
+    "corrupti quos dolores et quas molestias excepturi sint occaecati cupiditate non provident, similique sunt in culpa "
+    "qui officia deserunt mollitia animi, id est laborum et dolorum fuga.",
+    "Et harum quidem rerum facilis est et expedita distinctio.",
+    "Nam libero tempore, cum soluta nobis est eligendi optio cumque nihil impedit quo minus id quod maxime placeat facere "
+    "possimus, omnis voluptas assumenda est, omnis dolor repellendus.",
+    "Temporibus autem quibusdam et aut officiis debitis aut rerum necessitatibus saepe eveniet ut et voluptates "
+    "repudiandae sint et molestiae non recusandae.",
+    "Itaque earum rerum hic tenetur a sapiente delectus, ut aut reiciendis voluptatibus maiores alias consequatur aut "
+    "perferendis doloribus asperiores repellat.",
+    "Vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae.",
+    "Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas.",
+    "Class aptent taciti sociosqu ad litora torquent per conubia nostra, per inceptos himenaeos.",
+    "Cum sociis natoque penatibus et magnis dis parturient montes, nascetur ridiculus mus.",
+    "Stet clita kasd gubergren, no sea takimata sanctus est lorem ipsum dolor sit amet.",
+]
+PIECE = 5
 #: Words of made-up Latin; a window made of them is filler, a single one is not.
 LATIN = (
     "ad adipiscing aequor aliqua aliquam aliquip amet anim aute cadit campus caret census cillum commodo consectetur "
@@ -128,8 +161,11 @@ PLACEHOLDERS = [
 
 
 def labelled() -> list[tuple[str, str]]:
-    """(label, exemplar) of all phrase exemplars; pages of HTTP statuses and dummy sentences are built from rules."""
+    """(label, exemplar) of all phrase exemplars; pages of HTTP statuses, dummy sentences and pieces of
+    Latin passages are built from rules."""
     pages = [page.format(status) for page, status in product(STATUS_PAGES, STATUSES)]
     dummies = [" ".join(x) for x in product(FILLER_KINDS, FILLER_PARTS, FILLER_NOTES)]
-    parts = {"error": pages + ERROR_PAGES, "scripts": SCRIPT_NOTICES, "filler": dummies + FILLER, "chrome": CHROME}
+    words = [p.replace(",", "").rstrip(".?").split() for p in LATIN_PASSAGES]
+    latin = [" ".join(w[k : k + PIECE]) for w in words for k in range(len(w) - PIECE + 1)]
+    parts = {"error": pages + ERROR_PAGES, "scripts": SCRIPT_NOTICES, "filler": dummies + FILLER, "latin": latin, "chrome": CHROME}
     return [(label, e) for label, all_of in parts.items() for e in all_of]
