@@ -438,7 +438,10 @@ g AS (SELECT b.b, k.k, (b.b * 7919 + k.k * 104729 + b.b * k.k * 31) % n.n AS i F
 s AS (SELECT g.b, avg(d.r) / nullif(stddev_samp(d.r), 0) AS s FROM g JOIN d ON d.i = g.i GROUP BY 1)
 SELECT count(s) AS draws, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.025), 6) AS lo, round(quantile_cont(s, 0.975), 6) AS hi FROM s""")
 def bootstrap(spark, sf_dir):
-    """Bootstrap of a mean-to-deviation ratio over days, indices drawn by a fixed rule so that it can be repeated."""
+    """Mean-to-deviation ratio of 200 rearrangements of the days by a fixed linear rule, as its SQL has it.
+
+    Not a bootstrap: a draw holds every day equally often or cycles through a few. See ``bootstrap_sharpe``.
+    """
     d = daily_panel(spark, sf_dir).groupBy("ts").agg(F.avg("value").alias("r"))
     d = d.withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)  # a row per day
     n = d.count()
@@ -449,6 +452,26 @@ def bootstrap(spark, sf_dir):
     return s.agg(F.count("s").alias("draws"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.percentile("s", 0.025), 6).alias("lo"), F.round(F.percentile("s", 0.975), 6).alias("hi"))
 
 
+def bootstrap_draws(n: int, draws: int, seed: int, spark: SparkSession) -> DataFrame:
+    """(b, i): ``n`` indices from 0 to n - 1 for each draw, by a hash of (seed, draw, position), so that they repeat."""
+    g = spark.range(draws if n else 0).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("k"))
+    return g.select("b", F.pmod(F.xxhash64(F.lit(seed), "b", "k"), F.lit(max(n, 1))).cast("int").alias("i"))
+
+
+@query()
+def bootstrap_sharpe(spark, sf_dir):
+    """Bootstrap of the annual Sharpe ratio over days: 1,000 draws of days with replacement, the block one day.
+
+    A draw without deviation counts as 0; fewer than two days give 0 in every draw.
+    """
+    d = daily_panel(spark, sf_dir).groupBy("ts").agg(F.avg("value").alias("r")).where("r is not null and not isnan(r)")
+    d = d.withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)  # a row per day
+    s = bootstrap_draws(d.count(), 1000, 42, spark).join(F.broadcast(d.select("i", "r")), "i").groupBy("b").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("dev"))
+    s = spark.range(1000).withColumnRenamed("id", "b").join(s, "b", "left")
+    s = s.select(F.when(F.col("dev") >= 1e-10, F.col("mean") / F.col("dev") * math.sqrt(252)).otherwise(0.0).alias("s"))
+    return s.agg(F.count("s").alias("draws"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.percentile("s", 0.025), 6).alias("lo"), F.round(F.percentile("s", 0.975), 6).alias("hi"))
+
+
 @query(BARS + """, m AS (SELECT ticker, avg(close) AS mu, stddev_pop(close) AS sd FROM bars GROUP BY 1), b AS (SELECT *, hash_bit FROM (SELECT *, (epoch(ts)::BIGINT // 3600) % 10 = 0 AS hash_bit FROM bars)),
 x AS (SELECT b.ticker, b.ts, close, CASE WHEN hash_bit THEN coalesce(lead(close) OVER (PARTITION BY b.ticker ORDER BY b.ts), close) ELSE close END AS future, (close - mu) / sd AS normalised FROM b JOIN m ON m.ticker = b.ticker)
 SELECT ticker, count(*) FILTER (WHERE future <> close) AS changed, round(sum(future), 4) AS future_sum, round(max(normalised), 6) AS top FROM x GROUP BY 1""")
