@@ -230,26 +230,47 @@ def change_points(spark, sf_dir):
     return d.groupBy("ticker").applyInPandas(find, "ticker string, day date")
 
 
-@query()
-def factor_residuals(spark, sf_dir):
-    """Residual log returns of the users' daily panel after its two leading principal components.
-
-    Only complete tickers enter; the covariance is summed in Spark, its side is the number of these tickers, and
-    the loadings come back as a small table.
+def residual_prices(panel: DataFrame, components: int = 5, least_tickers: int = 50, least_rows: int = 200) -> DataFrame:
+    """(ticker, ts, residual, residual_log_price, explained) of a panel (ticker, ts, value) after its leading principal
+    components.
+
+    Only complete tickers enter, those with a positive value at every time of the panel; below the minimums there are
+    no rows. The components are those of centred log returns, the projection takes the returns as they are. The
+    residuals are summed from the first log price, whose row has no residual; ``explained`` is the components' share of
+    the variance. The covariance is summed in Spark, its side is the number of complete tickers, and the loadings come
+    back as a small table.
     """
-    p = daily_panel(spark, sf_dir, "ticker").withColumn("r", F.ln(F.col("value") / F.lag("value").over(W.over(["ticker"], ["ts"])))).where("r is not null")
-    p = p.withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy("ticker")))
-    a, b = p.select(F.col("ticker").alias("i"), "ts", F.col("r").alias("x")), p.select(F.col("ticker").alias("j"), "ts", F.col("r").alias("y"))
+    spark, w = panel.sparkSession, W.over(["ticker"], ["ts"])
+    p = panel.where("value > 0 and not isnan(value)").select("ticker", "ts", F.ln("value").alias("x"))
+    n = panel.select("ts").distinct().count()
+    p = p.join(p.groupBy("ticker").count().where(F.col("count") == n).select("ticker"), "ticker", "left_semi")
+    p = p.withColumn("r", F.col("x") - F.lag("x").over(w))
+    kind = panel.schema["ticker"].dataType.simpleString()
+    c = p.where("r is not null").withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy("ticker")))
+    a, b = c.select(F.col("ticker").alias("i"), "ts", F.col("r").alias("x")), c.select(F.col("ticker").alias("j"), "ts", F.col("r").alias("y"))
     c = a.join(b, "ts").where("i <= j").groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("c")).toPandas()
-    names = sorted(set(c["i"]) | set(c["j"]))
+    names = sorted(set(c["i"]))
     m = c.pivot(index="i", columns="j", values="c").reindex(index=names, columns=names).to_numpy()
     m = np.where(np.isnan(m), m.T, m)
-    w = K.principal_residuals(np.nan_to_num(m), 2) if len(names) > 1 else np.zeros((2, len(names)))
-    loadings = spark.createDataFrame([(n, [float(v) for v in w[:, k]]) for k, n in enumerate(names)], "ticker string, w array<double>")
-    l = p.join(F.broadcast(loadings), "ticker")
-    f = l.groupBy("ts").agg(*[F.sum(F.col("w")[k] * F.col("r")).alias(f"f{k}") for k in (0, 1)])
-    out = l.join(f, "ts").withColumn("residual", F.col("r") - F.col("w")[0] * F.col("f0") - F.col("w")[1] * F.col("f1"))
-    return out.select("ticker", "ts", F.round("residual", 6).alias("residual"))
+    enough = len(names) >= max(least_tickers, components) and n >= least_rows
+    v = K.principal_residuals(m, components) if enough else np.zeros((components, 0))
+    explained = float(np.trace(v @ m @ v.T) / np.trace(m)) if enough and np.trace(m) > 0 else None
+    rows = [(int(t) if kind in ("int", "bigint") else t, [float(x) for x in v[:, k]]) for k, t in enumerate(names if enough else [])]
+    l = p.join(F.broadcast(spark.createDataFrame(rows, f"ticker {kind}, w array<double>")), "ticker")
+    f = l.where("r is not null").groupBy("ts").agg(F.array(*[F.sum(F.col("w")[k] * F.col("r")) for k in range(components)]).alias("f"))
+    held = sum((F.col("w")[k] * F.col("f")[k] for k in range(1, components)), F.col("w")[0] * F.col("f")[0])
+    out = l.join(f, "ts", "left").withColumn("residual", F.col("r") - held)
+    price = F.first("x").over(w) + F.coalesce(F.sum("residual").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    return out.select("ticker", "ts", F.round("residual", 6).alias("residual"), F.round(price, 6).alias("residual_log_price"), F.round(F.lit(explained).cast("double"), 6).alias("explained"))
+
+
+@query()
+def factor_residuals(spark, sf_dir):
+    """Residual log returns and prices of the users' daily panel after its five leading principal components.
+
+    The minimums are those that five components need, as the events span 30 days.
+    """
+    return residual_prices(daily_panel(spark, sf_dir), 5, 6, 7)
 
 
 @query(BARS + """, r AS (SELECT ticker, ts, ln(value / lag(value) OVER (PARTITION BY ticker ORDER BY ts)) AS r FROM (SELECT event_type AS ticker, CAST(ts AS DATE) AS ts, last(price ORDER BY ts, event_id) AS value FROM (SELECT event_id, ticker AS event_type, ts, price FROM ticks) GROUP BY 1, 2)),
