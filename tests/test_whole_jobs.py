@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tidemark.plans.relations import bootstrap_draws, residual_prices
-from tidemark.sources.market import daily_panel
+from tidemark.sources.market import daily_panel, hourly_bars
 
 
 def test_draws_are_with_replacement(spark):
@@ -66,3 +66,12 @@ def test_factor_residuals_are_the_users(spark):
         pytest.skip("the driver's tables are not here")
     got = entry.queries()["factor_residuals"](spark, sf).toPandas()
     assert check_residuals(got, daily_panel(spark, sf).toPandas(), 5) > 5
+
+
+def test_hurst_over_all_lags(spark, sf):
+    got = {r["ticker"]: r["hurst"] for r in entry.queries()["hurst_long"](spark, sf).collect()}
+    for ticker, bars in hourly_bars(spark, sf).toPandas().groupby("ticker"):
+        x = bars.sort_values("ts")["close"].to_numpy()
+        lags = np.arange(2, min(100, len(x) // 2))
+        wanted = np.polyfit(np.log(lags), np.log([np.std(x[k:] - x[:-k], ddof=1) for k in lags]), 1)[0] if len(x) >= 110 else None
+        assert got[ticker] == (pytest.approx(wanted, abs=2e-6) if wanted is not None else None)

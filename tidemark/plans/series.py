@@ -314,6 +314,20 @@ def hurst(spark, sf_dir):
     return wide.select("ticker", F.explode("a").alias("x")).where("x.s > 0").groupBy("ticker").agg(F.round(W.slope(F.ln("x.s"), F.ln("x.lag")), 6).alias("hurst"))
 
 
+@query(BARS + """, l AS (SELECT unnest(generate_series(2, 99)) AS lag), x AS (SELECT ticker, i, close, count(*) OVER (PARTITION BY ticker) AS n FROM rets),
+d AS (SELECT a.ticker, l.lag, any_value(a.n) AS n, stddev_samp(b.close - a.close) AS s FROM x a JOIN l ON l.lag < a.n // 2 JOIN x b ON b.ticker = a.ticker AND b.i = a.i + l.lag GROUP BY 1, 2)
+SELECT ticker, CASE WHEN any_value(n) >= 110 AND min(s) > 0 THEN round(regr_slope(ln(CASE WHEN s > 0 THEN s END), ln(lag)), 6) END AS hurst FROM d GROUP BY 1""")
+def hurst_long(spark, sf_dir):
+    """Hurst exponent over lags 2 to min(100, n / 2) - 1 of each series; null for under 110 bars or a lag without deviation."""
+    w, lags = W.over(["ticker"], ["ts"]), range(2, 100)
+    b = hourly_bars(spark, sf_dir)
+    d = b.select("ticker", *[(F.lead("close", k).over(w) - F.col("close")).alias(f"d{k}") for k in lags])
+    wide = d.groupBy("ticker").agg(F.count("*").alias("n"), F.array(*[F.struct(F.lit(k).alias("lag"), F.stddev_samp(f"d{k}").alias("s")) for k in lags]).alias("a"))
+    x = wide.select("ticker", "n", F.explode("a").alias("x")).where("x.lag < n div 2")
+    slope = F.when((F.first("n") >= 110) & (F.min("x.s") > 0), W.slope(F.when(F.col("x.s") > 0, F.ln("x.s")), F.ln("x.lag")))
+    return x.groupBy("ticker").agg(F.round(slope, 6).alias("hurst"))
+
+
 @query(BARS + """SELECT ticker, count(r) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS dev, round(skewness(r), 5) AS skew, round(kurtosis(r), 5) AS kurt,
 round(quantile_cont(r, 0.05), 6) AS q05, round(quantile_cont(r, 0.99), 6) AS q99, round(avg(CASE WHEN abs(r) > 1 THEN 1.0 ELSE 0 END), 6) AS tail FROM rets WHERE r IS NOT NULL GROUP BY 1""")
 def tail_stats(spark, sf_dir):
