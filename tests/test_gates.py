@@ -56,6 +56,16 @@ def test_engle_granger(spark):
     assert got == {"tied": True, "free": False, "short": None}
 
 
+def test_engle_granger_looks_at_thirty_lags(spark):
+    rng = np.random.default_rng(5)
+    walk, rest = np.cumsum(rng.normal(size=900)), np.zeros(900)
+    for i in range(900):
+        rest[i] = (0.8 * rest[i - 15] if i >= 15 else 0) + rng.normal()
+    rows = [("long", i, float(a), float(b)) for i, (a, b) in enumerate(zip(2 * walk + rest, walk))]
+    got = G.engle_granger(spark.createDataFrame(rows, "k string, t int, a double, b double"), ["k"], "t").head()
+    assert 14 <= got["lags"] <= 30
+
+
 def test_deflated_ratio(spark):
     rng = np.random.default_rng(4)
     rows = [(f"s{k}", float(v)) for k in range(8) for v in rng.normal(0.4 if k == 0 else 0.0, 1, 200)] + [("few", 1.0), ("flat", 1.0), ("flat", 1.0), ("flat", 1.0), ("gone", None)]

@@ -69,7 +69,7 @@ _CRITICAL_5 = (-3.33613, -6.1101, -6.823)
 # ---- end of fixed values ------------------------------------------------------------------------------------
 
 
-def engle_granger(pairs: DataFrame, keys: list[str], order: str, most_lags: int = 10) -> DataFrame:
+def engle_granger(pairs: DataFrame, keys: list[str], order: str, most_lags: int = 30) -> DataFrame:
     """(keys, n, lags, statistic, cointegrated): regression of a on b, and the Dickey-Fuller test of its residual.
 
     One group per pair, of the length of its calendar. Pairs of under 30 rows give a null statistic and verdict."""
