@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.instants import with_instant, with_session_date
 from tidemark.operators.normalise_times import instants, spelled_otherwise
 
-FEEDS = [("utc", "UTC", "YMD"), ("ny", "America/New_York", "MDY"), ("ldn", "Europe/London", "DMY"), ("tyo", "Asia/Tokyo", "YMD"), ("dmy", "UTC", "DMY")]
+FEEDS = [("utc", "UTC", "YMD"), ("ny", "America/New_York", "MDY"), ("ldn", "Europe/London", "DMY"), ("tyo", "Asia/Tokyo", "YMD"), ("dmy", "UTC", "DMY"), ("tor", "America/Toronto", "MDY"), ("waw", "Europe/Warsaw", "DMY"), ("bad", "Mars/Olympus", "YMD")]
 
 
 def us(*parts):
@@ -52,6 +52,18 @@ CASES = [
     ("1758889028256", "ny", AT + 256_000),
     ("1758889028256789", "ny", AT + 256_789),
     ("1758889028256789123", "ny", AT + 256_789),
+    ("2025-09-26 08:17:08 EDT", "tor", AT),  # abbreviations come from the zone's own rules
+    ("2025-09-26 14:17:08 CEST", "waw", AT),
+    ("2025-09-26T12:17:08+18:00", "utc", AT - 18 * 3_600_000_000),
+    # zones and offsets that don't exist name no instant, and end no job
+    ("2025-09-26T12:17:08[Foo/Bar]", "utc", None),
+    ("2025-09-26T12:17:08[GMT+99]", "utc", None),
+    ("2025-09-26T12:17:08+99:99", "utc", None),
+    ("2025-09-26T12:17:08+18:30", "utc", None),
+    ("2025-09-26T12:17:08+05:60", "utc", None),
+    ("2025-09-26 12:17:08", "bad", None),
+    ("2025-09-26 12:17:08 XYZ", "bad", None),
+    ("2025-09-26 12:17:08Z", "bad", AT),
     # repeated and skipped hours
     ("2025-11-02 01:30:00 EDT", "ny", us(2025, 11, 2, 5, 30)),
     ("2025-11-02 01:30:00 EST", "ny", us(2025, 11, 2, 6, 30)),

@@ -7,27 +7,17 @@ only rewrites the text into ten fields; whether these fields are a real date and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from datetime import datetime
+from functools import lru_cache
+from zoneinfo import ZoneInfo, available_timezones
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---- fixed values -------------------------------------------------------------------------------------------
 #: Blanks that may surround a text.
 BLANKS = " \t\n\r\f\x0b   　​﻿"
-#: Zone abbreviations by zone, in minutes east of UTC. An abbreviation of another zone names no instant.
-ABBREVIATIONS = {
-    "America/New_York": {"EST": -300, "EDT": -240},
-    "America/Chicago": {"CST": -360, "CDT": -300},
-    "America/Denver": {"MST": -420, "MDT": -360},
-    "America/Los_Angeles": {"PST": -480, "PDT": -420},
-    "Europe/London": {"GMT": 0, "BST": 60},
-    "Europe/Paris": {"CET": 60, "CEST": 120},
-    "Europe/Berlin": {"CET": 60, "CEST": 120},
-    "Asia/Tokyo": {"JST": 540},
-    "Asia/Hong_Kong": {"HKT": 480},
-    "Asia/Singapore": {"SGT": 480},
-    "Asia/Kolkata": {"IST": 330},
-    "Australia/Sydney": {"AEST": 600, "AEDT": 660},
-}
 #: These mean UTC in any feed.
 UNIVERSAL = ("Z", "UTC", "GMT", "UT")
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
@@ -39,6 +29,8 @@ _ZONE = r"(?: ?(Z|z|[+-]\d{2}(?::?\d{2})?|[A-Z]{2,5}))?(?:\[([A-Za-z][A-Za-z0-9_
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?: ?([AaPp][Mm]))?"
 _WEEKDAY = r"(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? )?"
 DAY_US = 86_400_000_000
+#: Years whose winters and summers give a zone's abbreviations; where one has changed its meaning, the latest counts.
+_YEARS = (1995, 2005, 2015, 2025, 2037)
 # ---- end of fixed values ------------------------------------------------------------------------------------
 
 _MONTH_GROUPS = 12
@@ -101,16 +93,48 @@ def _bare_number(t: Column) -> Column:
     )
 
 
+@lru_cache(1)
+def zone_names() -> tuple[str, ...]:
+    """The names of zones that this JVM has rules for."""
+    session = SparkSession.active()
+    try:
+        jvm = session._jvm
+        names = jvm.java.time.ZoneId.getAvailableZoneIds().toString()
+        return tuple(sorted(names.strip("[]").split(", ")))
+    except AttributeError:  # no JVM at hand
+        return tuple(sorted(available_timezones()))
+
+
+@lru_cache(1)
+def abbreviations() -> str:
+    """Every abbreviation with its minutes east of UTC by zone, from the zones' own rules, as JSON."""
+    out: dict[str, dict[str, int]] = {}
+    for name in sorted(available_timezones()):
+        zone = ZoneInfo(name)
+        for year in _YEARS:
+            for month in (1, 7):
+                at = datetime(year, month, 1, tzinfo=zone)
+                if at.tzname() and at.tzname().isalpha():
+                    out.setdefault(at.tzname(), {})[name] = int(at.utcoffset().total_seconds() // 60)
+    return json.dumps(out)
+
+
+def known_zone(name: str) -> Column:
+    """The SQL expression ``name`` if it names a zone there are rules for, else null: no name may end the job."""
+    return F.expr(f"CASE WHEN {name} IN ({', '.join(repr(z) for z in zone_names())}) THEN {name} END")
+
+
 def _offset_minutes(zone: Column, clock: Column) -> Column:
-    """Minutes east of UTC of a written zone; null if it is none of the source's."""
-    pairs = [F.lit(x) for z, names in ABBREVIATIONS.items() for a, m in names.items() for x in (f"{z} {a}", m)]
+    """Minutes east of UTC of a written zone; null if it is none of the source's, or beyond 18 hours or 59 minutes."""
+    by_name = F.from_json(F.lit(abbreviations()), "map<string,map<string,int>>")
     digits = F.regexp_replace(F.substring(zone, 2, 5), ":", "")
-    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+    hours, rest = F.substring(digits, 1, 2).try_cast("int"), F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+    minutes = F.when((rest <= 59) & (hours * 60 + rest <= 18 * 60), hours * 60 + rest)
     return (
         F.when(F.upper(zone).isin(*UNIVERSAL), F.lit(0))
         .when(zone.startswith("+"), minutes)
         .when(zone.startswith("-"), -minutes)
-        .otherwise(F.try_element_at(F.create_map(*pairs), F.concat_ws(" ", clock, zone)))
+        .otherwise(F.try_element_at(F.try_element_at(by_name, zone), clock))
     )
 
 
@@ -200,7 +224,8 @@ def with_instant(
     """Adds ``out``: the instant of column ``text`` in microseconds since 1970 UTC, null if it names none.
 
     ``zone`` and ``order`` name columns with the row's default zone and its order of all-digit dates with slashes;
-    null there makes texts that need them name no instant. A zone or offset in the text counts before the default,
+    null there, or a zone without rules, makes texts that need them name no instant; so does an unknown region, an
+    abbreviation that is none of the row's zone, an offset beyond 18 hours or of 60 minutes and more. A zone or offset in the text counts before the default,
     an offset before a bracketed region. ``canonical``, if given, is a flag column: the text is already exactly
     ``YYYY-MM-DDTHH:MM:SS.ffffff+00:00``. Columns of these names are replaced. Null, empty and blank texts give null. ``ambiguous`` decides a local time
     that occurs twice (``earlier``, ``later``, ``null``), ``nonexistent`` one that is skipped (``shift``, ``null``).
@@ -208,15 +233,15 @@ def with_instant(
     _check_policy(ambiguous, nonexistent)
     keep = [c for c in df.columns if c.lower() not in (out.lower(), (canonical or out).lower())]
     df = _with_clock(_fields(df, text, dates=False), zone, order)
-    p, clock = F.col("__p"), F.col(zone)
+    p, clock, region = F.col("__p"), known_zone(f"`{zone}`"), known_zone("__p[10]")
     local = F.col("__local")
     value = (
         F.when(F.col("__fast"), F.unix_micros(F.col("__t").try_cast("timestamp")))
         .when(F.col("__s").isNull(), None)
         .when(F.col("__f").isNull(), _bare_number(F.col("__s")))
         .when((p[9] == "") & (p[10] == ""), _local_to_micros(local, clock, ambiguous, nonexistent))
-        .when(p[9] == "", _local_to_micros(local, p[10], ambiguous, nonexistent))
-        .otherwise(F.unix_micros(local) - _offset_minutes(p[9], clock).cast("bigint") * 60_000_000)
+        .when(p[9] == "", _local_to_micros(local, region, ambiguous, nonexistent))
+        .otherwise(F.unix_micros(local) - _offset_minutes(p[9], F.col(zone)).cast("bigint") * 60_000_000)
     )
     extra = [] if canonical is None else [(F.col("__fast") & F.col(out).isNotNull() & (F.length(text) == 32)).alias(canonical)]
     return df.withColumn(out, _fence(value)).select(*[F.col(f"`{c}`") for c in keep], out, *extra)
@@ -234,7 +259,7 @@ def with_session_date(
     """
     keep = [c for c in df.columns if c.lower() not in (out.lower(), (canonical or out).lower())]
     df = _with_clock(_fields(df, text, dates=True), zone, order)
-    p, local, clock = F.col("__p"), F.col("__local"), F.col(zone)
+    p, local, clock, region = F.col("__p"), F.col("__local"), known_zone(f"`{zone}`"), known_zone("__p[10]")
 
     def of(micros: Column) -> Column:
         return local_date(micros, session_zone)
@@ -247,8 +272,8 @@ def with_session_date(
         .when(p[4] == "", _date_text(p, F.col(order)).try_cast("date"))
         .when(bare & (F.pmod(F.unix_micros(local), F.lit(DAY_US)) == 0), utc_date(F.unix_micros(local)))
         .when(bare, of(_local_to_micros(local, clock, "earlier", "shift")))
-        .when(p[9] == "", of(_local_to_micros(local, p[10], "earlier", "shift")))
-        .otherwise(of(F.unix_micros(local) - _offset_minutes(p[9], clock).cast("bigint") * 60_000_000))
+        .when(p[9] == "", of(_local_to_micros(local, region, "earlier", "shift")))
+        .otherwise(of(F.unix_micros(local) - _offset_minutes(p[9], F.col(zone)).cast("bigint") * 60_000_000))
     )
     extra = [] if canonical is None else [(F.col("__fast") & F.col(out).isNotNull() & (F.length(text) == 10)).alias(canonical)]
     return df.withColumn(out, _fence(value)).select(*[F.col(f"`{c}`") for c in keep], out, *extra)
