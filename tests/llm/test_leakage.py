@@ -131,3 +131,31 @@ def test_any_stretch_is_the_brute_force():
         assert holds_any_stretch(passage, text, 8, 4) == wanted
         seen.add(wanted)
     assert seen == {True, False}
+
+
+def test_matcher_is_the_brute_force():
+    """Seeds, buckets, windows and check together, on copies of 30 to 60 words around the limit of edits."""
+    rng = np.random.default_rng(21)
+    passage = [f"p{i}" for i in rng.integers(0, 60, 75)]
+    m, seen = Matcher([(1, " ".join(passage))]), []
+    for k in range(60):
+        size = int(rng.integers(30, 61))
+        at = int(rng.integers(0, len(passage) - size + 1))
+        copy, rate = [], rng.uniform(0.12, 0.4)
+        for w in passage[at : at + size]:
+            kind = rng.integers(0, 3) if rng.random() < rate else 3
+            copy += {0: ["changed"], 1: [], 2: ["added", w], 3: [w]}[int(kind)]
+        noise = [f"p{i}" for i in rng.integers(0, 60, 12)]
+        text = [*noise, *copy, *noise[:5]]
+        if k % 2:  # a more heavily edited copy beside it
+            text = [*(w if i % 4 else "other" for i, w in enumerate(passage)), "and", *text]
+        wanted = within(passage, text, 30, 6)
+        assert m.leaked(" ".join(text)) == [1] * wanted, (k, text)
+        seen.append(wanted)
+    assert 10 < sum(seen) < 50
+
+
+def test_deletions_that_move_the_diagonal():
+    passage = [f"w{i}" for i in range(54)]
+    text = [w for i, w in enumerate(passage) if i % 6 != 3]
+    assert Matcher([(1, " ".join(passage))]).leaked(" ".join(text)) == [1]

@@ -9,9 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import materialise
+
 #: A leaked stretch has at least this many words of the passage, and at most one in so many is changed.
 STRETCH, ONE_IN = 30, 6
 #: Shortest run of equal words that counts as a seed.
@@ -163,15 +166,21 @@ def holds_stretch(steps: np.ndarray, stretch: int = STRETCH, one_in: int = ONE_I
     return bool(((start >= 0) & (score >= lowest[np.maximum(start, 0)])).any())
 
 
+def longest_looked_at(stretch: int, one_in: int) -> int:
+    """Longer stretches within the limit need no look of their own: one half is within it too, and long enough without
+    the edits at the cut."""
+    return 2 * -(-stretch * one_in // (one_in - 1)) - 1
+
+
 def holds_any_stretch(passage: np.ndarray, text: np.ndarray, stretch: int = STRETCH, one_in: int = ONE_IN) -> bool:
     """Whether any ``stretch`` passage words or more, first and last of them kept, stand anywhere in a text with at most
     one in ``one_in`` edited.
 
-    Edit distances of passage[s : s + size] to the nearest part of the text, for all starts ``s`` at once. Sizes are
-    bounded: of a longer stretch one half is within the limit too, and is long enough without the edits at the cut.
+    Edit distances of passage[s : s + size] to the nearest part of the text, for all starts ``s`` at once, up to the
+    size of ``longest_looked_at``.
     """
     n, m = len(passage), len(text)
-    longest = min(2 * -(-stretch * one_in // (one_in - 1)) - 1, n)
+    longest = min(longest_looked_at(stretch, one_in), n)
     never, ramp = longest + 1, np.arange(m + 1, dtype=np.int32)
     starts = np.arange(max(0, n - stretch + 1))
     d = np.full((len(starts), m + 1), never, np.int32)
@@ -204,7 +213,9 @@ class Matcher:
         # with e edits a stretch of n words keeps n - e of them in at most e + 1 runs: so many seeds at least
         edits = stretch // one_in
         self.least = max(1, stretch - edits - (SEED - 1) * (edits + 1))
-        self.band = edits + 3
+        # a word dropped or added moves the diagonal by one, so the seeds of one stretch span as many diagonals as the
+        # longest stretch looked at has edits: two neighbouring buckets hold them all
+        self.band = longest_looked_at(stretch, one_in) // one_in + 1
 
     def leaked(self, text: str) -> list[int]:
         """The items of which ``text`` holds a stretch."""
@@ -257,27 +268,20 @@ def leaked_items(
     The passages' suffix automaton gives the longest matching run at every word of a text; runs of three words and
     more are the seeds. A stretch within the limits can't have fewer seeds near one diagonal than ``Matcher.least``,
     so only texts with that many are aligned; where the best alignment holds none, every part of the passage is
-    compared with the window, so none is missed. The evaluation items are read by the driver, cut
-    into blocks of ``block_words`` words and broadcast block by block, so the broadcast has a bound that doesn't
-    depend on the corpus; the corpus itself is streamed once per block without a shuffle. Null, empty and blank texts
+    compared with the window, so none is missed. The evaluation items are streamed to the driver in blocks of
+    ``block_words`` words; one block's matcher at a time is built and broadcast, which bounds both whatever the number
+    of items. The corpus is read once per block without a shuffle, and blocks before the last are written as they are
+    done. Null, empty and blank texts
     and passages match nothing; passages shorter than ``stretch`` can't leak; a repeated row gives its own rows.
     """
-    held = [(int(r[0]), r[1]) for r in items.select(F.col(item_key).cast("bigint"), passage).where(f"`{passage}` is not null").collect()]
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for i, p in sorted(set(held)):
-        size += len(p.split())
-        if size > block_words and blocks[-1]:
-            blocks.append([])
-            size = len(p.split())
-        blocks[-1].append((i, p))
+    spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
     slim = documents.select(F.col(key), F.col(text)).where(F.col(text).isNotNull())
-    out = None
-    for block in blocks:
-        matcher = documents.sparkSession.sparkContext.broadcast(Matcher(block, stretch, one_in))
 
-        def match(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+    def against(block: list[tuple[int, str]]) -> tuple[DataFrame, Broadcast]:
+        matcher = spark.sparkContext.broadcast(Matcher(block, stretch, one_in))
+
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = matcher.value
             for batch in batches:
                 found = [(row, i) for row, t in enumerate(batch.column(1).to_pylist()) for i in m.leaked(t)]
@@ -285,6 +289,30 @@ def leaked_items(
                     [batch.column(0).take(pa.array([r for r, _ in found], pa.int64())), pa.array([i for _, i in found], pa.int64())], names=[key, item_key]
                 )
 
-        part = slim.mapInArrow(match, f"`{key}` {kind}, `{item_key}` bigint")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return slim.mapInArrow(match, f"`{key}` {kind}, `{item_key}` bigint"), matcher
+
+    out, waiting = None, None
+    for block in _blocks(items.select(F.col(item_key).cast("bigint"), passage), block_words):
+        if waiting is not None:  # more than one block: each is written before the next is built
+            part, matcher = against(waiting)
+            part = materialise(part, "leaked")
+            matcher.unpersist()
+            out = part if out is None else out.unionByName(part)
+        waiting = block
+    part, _ = against(waiting)
+    return part if out is None else out.unionByName(part)
+
+
+def _blocks(items: DataFrame, words: int) -> Iterator[list[tuple[int, str]]]:
+    """The items (id, passage) in blocks of about ``words`` words, streamed to the driver in order of their ids, one
+    partition at a time; one empty block if there are none."""
+    block: list[tuple[int, str]] = []
+    size = 0
+    for r in items.where(items[0].isNotNull() & items[1].isNotNull()).distinct().orderBy(*items.columns).toLocalIterator():
+        n = r[1].count(" ") + 1
+        if block and size + n > words:
+            yield block
+            block, size = [], 0
+        block.append((int(r[0]), r[1]))
+        size += n
+    yield block
