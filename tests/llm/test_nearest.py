@@ -16,14 +16,14 @@ def brute(left, right, tolerance):
     return sorted(out)
 
 
-@pytest.mark.parametrize("cell", [3, 50, 1000])
-def test_against_brute_force(spark, cell):
-    rng = random.Random(cell)
+@pytest.mark.parametrize("tick,coarse", [(1, 6), (3, 30), (50, 100), (1000, 1000), (7, 7_000_000)])
+def test_against_brute_force(spark, tick, coarse):
+    rng = random.Random(tick)
     right = [(rng.choice("aaaab"), rng.randrange(2000), j) for j in range(400)] + [("a", 500, j) for j in range(400, 420)] + [(None, 5, 900), ("a", None, 901)]
     left = [(rng.choice("abc"), rng.randrange(-50, 2050), i) for i in range(300)] + [("a", 500, 7), ("a", 500, 7), (None, 5, 901), ("a", None, 902)]
     r = spark.createDataFrame(right, "ticker string, at bigint, rid bigint").selectExpr("*", "1 as tick", "2 as e")
     l = spark.createDataFrame(left, "ticker string, at bigint, lid bigint").selectExpr("*", "'x' as rid")
-    got = nearest_in_time(l, r, "ticker", "at", "at", "lid", "rid", 10, cell)
+    got = nearest_in_time(l, r, "ticker", "at", "at", "lid", "rid", 10, tick, coarse)
     assert sorted(map(tuple, got.collect())) == brute(left, right, 10)
 
 

@@ -10,7 +10,7 @@ from tidemark.llm.leakage import leaked_items
 from tidemark.llm.nearest import nearest_in_time
 from tidemark.llm.residue import residue_kinds
 from tidemark.operators.normalise_times import instants
-from tidemark.plans.instants_sql import P2
+from tidemark.plans.instants_sql import ORDERS, TICKS, instants_of
 from tidemark.sources.tables import spread, table
 
 
@@ -79,4 +79,10 @@ v AS (SELECT c, count(*) FILTER (WHERE who = 0) AS users, count(*) FILTER (WHERE
 b AS (SELECT c, bool_or(who IS NULL OR t IS NULL) AS broken FROM s GROUP BY 1)
 SELECT b.c AS cascade_id FROM b LEFT JOIN v ON v.c = b.c WHERE broken OR coalesce(users, 0) = 0 OR coalesce(answers, 0) = 0 OR bad_start OR bad_end OR bad_pair
 """
-SQL: dict[str, str] = {"p1_found": _P1_SQL, "p2_found": P2}
+_P2_SQL = instants_of(TICKS, ORDERS) + """, r AS (SELECT t.ticker, i.us, min(t.tick_id) AS tick_id FROM inst i JOIN ticks t ON t.tick_id = i.row_id WHERE i.src_table = 'ticks' AND i.us IS NOT NULL AND price > 0 GROUP BY 1, 2),
+l AS (SELECT o.order_no, o.ticker, i.us FROM inst i JOIN live_orders o ON o.order_no = i.row_id WHERE i.src_table = 'live_orders' AND i.us IS NOT NULL),
+c AS (SELECT l.order_no, l.us - r.us AS gap, r.tick_id FROM l ASOF JOIN r ON r.ticker = l.ticker AND r.us <= l.us
+  UNION ALL SELECT l.order_no, r.us - l.us, r.tick_id FROM l ASOF JOIN r ON r.ticker = l.ticker AND r.us >= l.us)
+SELECT order_no, arg_min(tick_id, (gap, tick_id)) AS tick_id FROM c WHERE gap <= 5000000 GROUP BY 1
+"""
+SQL: dict[str, str] = {"p1_found": _P1_SQL, "p2_found": _P2_SQL}
