@@ -76,12 +76,6 @@ p AS (SELECT k, island, min(s) AS s, max(e) AS e FROM i GROUP BY 1, 2)
 SELECT 'period' AS kind, k AS pair_id, s AS start_us, e AS end_us FROM p
 UNION ALL SELECT 'gap', k, before, s FROM (SELECT k, s, lag(e) OVER (PARTITION BY k ORDER BY island) AS before FROM p) WHERE before IS NOT NULL
 """
-P2 = instants_of(TICKS, ORDERS) + """, r AS (SELECT t.ticker, i.us, min(t.tick_id) AS tick_id FROM inst i JOIN ticks t ON t.tick_id = i.row_id WHERE i.src_table = 'ticks' AND i.us IS NOT NULL AND price > 0 GROUP BY 1, 2),
-l AS (SELECT o.order_no, o.ticker, i.us FROM inst i JOIN live_orders o ON o.order_no = i.row_id WHERE i.src_table = 'live_orders' AND i.us IS NOT NULL),
-c AS (SELECT l.order_no, l.us - r.us AS gap, r.tick_id FROM l ASOF JOIN r ON r.ticker = l.ticker AND r.us <= l.us
-  UNION ALL SELECT l.order_no, r.us - l.us, r.tick_id FROM l ASOF JOIN r ON r.ticker = l.ticker AND r.us >= l.us)
-SELECT order_no, arg_min(tick_id, (gap, tick_id)) AS tick_id FROM c WHERE gap <= 5000000 GROUP BY 1
-"""
 P7 = instants_of(TICKS) + "," + SESSIONS + """, v AS (
   SELECT 'ticks' AS src_table, tick_id AS row_id, 'price' AS field, ticker, us AS moment, CAST(to_timestamp(us / 1000000) AT TIME ZONE 'America/New_York' AS DATE) AS day, price AS v, 20 AS most FROM inst JOIN ticks ON tick_id = row_id WHERE us IS NOT NULL
   UNION ALL SELECT 'bars', b.bar_id, 'close', ticker, epoch_us(CAST(day AS TIMESTAMP)), day, close, 20 FROM bars b JOIN sessions s ON s.bar_id = b.bar_id WHERE day IS NOT NULL
