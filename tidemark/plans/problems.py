@@ -149,7 +149,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     impossible = F.when(volume, F.col("value") < 0).otherwise(F.col("value") <= 0)
     level = F.when(volume, F.log1p("value")).otherwise(F.ln("value"))
     odd = implausible(readings.where(~impossible).withColumn("level", level), SPIKE_LIMITS, STUCK_RUNS, written=True)
-    found = odd.unionByName(readings.where(impossible).select("series", "row_id"))
+    found = odd.select("series", "row_id").unionByName(readings.where(impossible).select("series", "row_id"))
     part = F.split("series", r"\|", 3)
     return found.select(part[0].alias("src_table"), "row_id", part[1].alias("field"))
 
