@@ -9,26 +9,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most this many slots make one series: a day of five-minute slots, with an hour more for a clock change.
-SERIES_SLOTS = 300
+#: Series imputed at once: as many as fit into matrices of so many numbers, and no more than this.
+_NUMBERS, _SERIES = 6_000_000, 256
+#: Weight of staying where it is, for gaps that the trajectories leave undetermined.
+_STAY = 1e-6
 
 
-def ssa_fill(values: np.ndarray, lengths: np.ndarray, window: int, rank: int, tol: float, most: int) -> np.ndarray:
-    """Iterative singular-spectrum imputation of several series at once.
+def ssa_round(x: np.ndarray, lengths: np.ndarray, size: int, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """One round of singular-spectrum smoothing of series ``x`` (zero beyond their ``lengths``): embed as Hankel
+    trajectories of ``size``, keep the ``rank`` leading singular directions, average the anti-diagonals.
+
+    -> (the averages, the weights that gave them). With the directions held, an average is a weighted sum of the slots
+    less than ``size`` away; ``weights[s, i, d + size - 1]`` is that of slot ``i + d`` in slot ``i``.
+    """
+    n, width = x.shape
+    columns = width - size + 1
+    starts = np.arange(columns)[None, :] <= (lengths - size)[:, None]
+    h = np.lib.stride_tricks.sliding_window_view(x, size, axis=1).transpose(0, 2, 1) * starts[:, None, :]
+    _, vectors = np.linalg.eigh(h @ h.transpose(0, 2, 1))
+    lead = vectors[:, :, -rank:]
+    keep = lead @ lead.transpose(0, 2, 1)
+    low = keep @ h
+    total, count, weights = np.zeros_like(x), np.zeros_like(x), np.zeros((n, width, 2 * size - 1))
+    for k in range(size):
+        total[:, k : k + columns] += low[:, k, :]
+        count[:, k : k + columns] += starts
+        weights[:, k : k + columns, size - 1 - k : 2 * size - 1 - k] += starts[:, :, None] * keep[:, k, None, :]
+    count = np.maximum(count, 1)
+    return total / count, weights / count[:, :, None]
+
+
+def ssa_fill(values: np.ndarray, lengths: np.ndarray, window: int, rank: int, tol: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Iterative singular-spectrum imputation of several series at once: (the filled series, whether each converged).
 
     ``values`` is (series, slots), NaN where a slot is missing and beyond each series' ``lengths``. Every series is
-    centred, its gaps start from linear interpolation, and then: embed it as Hankel trajectories, keep the ``rank``
-    leading singular directions, average the anti-diagonals, and put these averages into the gaps, until no gap
-    moves by more than ``tol`` of the series' spread or ``most`` rounds are over. Known values never change. The
+    centred and its gaps start from linear interpolation. A round is ``ssa_round``; the plain iteration would put its
+    averages into the gaps and creep towards the point where they no longer change. While the singular directions are
+    held that point solves a linear system, so each round goes there at once and takes the directions anew, until no
+    gap moves by more than ``tol`` of the series' spread; then the averages reproduce the gaps. A series that
+    hasn't settled after ``most`` rounds keeps its last state and is told apart. Known values never change. The
     columns beyond a series' end are zero, which adds nothing to its trajectory moments, so a result doesn't depend
-    on which series share the batch. A series too short to embed keeps its interpolation.
+    on which series share the batch. A series too short to embed keeps its interpolation, which counts as converged.
     """
     out = values.copy()
     n_series, width = out.shape
     slots = np.arange(width)
     inside = slots[None, :] < lengths[:, None]
     missing = np.isnan(out) & inside
-    mean, spread = np.zeros(n_series), np.ones(n_series)
+    mean, spread, converged = np.zeros(n_series), np.ones(n_series), np.ones(n_series, bool)
     for i in range(n_series):
         known = inside[i] & ~missing[i]
         mean[i] = out[i, known].mean()
@@ -38,28 +66,32 @@ def ssa_fill(values: np.ndarray, lengths: np.ndarray, window: int, rank: int, to
             out[i, missing[i]] = np.interp(slots[missing[i]], slots[known], out[i, known])
     out[~inside] = 0.0
     embed = np.minimum(window, lengths // 2)
-    for size in np.unique(embed[(embed >= 2) & missing.any(axis=1)]):
+    for size in np.unique(embed[(embed >= 2) & missing.any(axis=1)]).tolist():
         live = np.flatnonzero((embed == size) & missing.any(axis=1))
-        keep = min(rank, int(size) - 1)
-        for _ in range(most):
-            x, end = out[live], lengths[live]
-            columns = width - size + 1
-            valid = slots[None, :columns] <= (end - size)[:, None]
-            h = np.lib.stride_tricks.sliding_window_view(x, size, axis=1).transpose(0, 2, 1) * valid[:, None, :]
-            _, vectors = np.linalg.eigh(h @ h.transpose(0, 2, 1))
-            lead = vectors[:, :, -keep:]
-            low = lead @ (lead.transpose(0, 2, 1) @ h)
-            total, count = np.zeros_like(x), np.zeros_like(x)
-            for k in range(size):
-                total[:, k : k + columns] += low[:, k, :]
-                count[:, k : k + columns] += valid
-            fresh = np.where(missing[live], total / np.maximum(count, 1), x)
-            moved = np.abs(fresh - x).max(axis=1) / spread[live]
-            out[live] = fresh
-            live = live[moved > tol]
+        converged[live] = False
+        for done in range(most):
+            x, gaps = out[live], missing[live]
+            fresh, weights = ssa_round(x, lengths[live], size, min(rank, size - 1))
+            # the gaps of each series side by side, padded with slots that stand for nothing
+            many = gaps.sum(axis=1)
+            at = np.argsort(~gaps, axis=1, kind="stable")[:, : many.max()]
+            real = np.arange(many.max())[None, :] < many[:, None]
+            apart = at[:, None, :] - at[:, :, None]
+            near = (np.abs(apart) < size) & real[:, None, :] & real[:, :, None]
+            rows = np.take_along_axis(weights, at[:, :, None], axis=1)
+            system = (1 + _STAY) * np.eye(many.max()) - np.take_along_axis(rows, np.clip(apart + size - 1, 0, 2 * size - 2), axis=2) * near
+            rest = np.where(real, np.take_along_axis(fresh - x, at, axis=1), 0.0)
+            move = np.linalg.solve(system, rest[:, :, None])[:, :, 0]
+            if done >= most // 2:  # directions that take turns
+                move /= 2
+            np.put_along_axis(x, at, np.take_along_axis(x, at, axis=1) + move, axis=1)
+            out[live] = x
+            still = np.abs(move).max(axis=1) > tol * spread[live]
+            converged[live[~still]] = True
+            live = live[still]
             if not len(live):
                 break
-    return np.where(inside, out + mean[:, None], np.nan)
+    return np.where(inside, out + mean[:, None], np.nan), converged
 
 
 def _series_filler(window: int, rank: int, tol: float, most: int, step: int):
@@ -82,18 +114,20 @@ def _series_filler(window: int, rank: int, tol: float, most: int, step: int):
             price, size, count = np.full(start[-1], np.nan), np.zeros(start[-1]), np.zeros(start[-1], np.int64)
             price[held], size[held], count[held] = seen["price"], seen["size"], seen["n"]
             gappy = np.flatnonzero(np.bincount(owner, minlength=n) < lengths)
-            for part in np.array_split(gappy[np.argsort(lengths[gappy], kind="stable")], max(1, len(gappy) // 64)):
-                if not len(part):
-                    continue
+            settled = np.ones(n, bool)
+            gappy = gappy[np.argsort(lengths[gappy], kind="stable")]
+            while len(gappy):
+                many = min(_SERIES, max(1, _NUMBERS // int(lengths[gappy[: _SERIES]][-1]) ** 2))
+                part, gappy = gappy[:many], gappy[many:]
                 grid = np.full((len(part), int(lengths[part].max())), np.nan)
                 for k, i in enumerate(part):
                     grid[k, : lengths[i]] = price[start[i] : start[i + 1]]
-                done = ssa_fill(grid, lengths[part], window, rank, tol, most)
+                done, settled[part] = ssa_fill(grid, lengths[part], window, rank, tol, most)
                 for k, i in enumerate(part):
                     price[start[i] : start[i + 1]] = done[k, : lengths[i]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("series").take(pa.array(row)), pa.array(first[row] + pos * step), pa.array(price), pa.array(size), pa.array(count), pa.array(count == 0)],
-                names=["series", "slot_start", "price", "size", "n", "filled"],
+                [batch.column("series").take(pa.array(row)), pa.array(first[row] + pos * step), pa.array(price), pa.array(size), pa.array(count), pa.array(count == 0), pa.array(settled[row])],
+                names=["series", "slot_start", "price", "size", "n", "filled", "converged"],
             )
 
     return fill
@@ -101,20 +135,21 @@ def _series_filler(window: int, rank: int, tol: float, most: int, step: int):
 
 def regular_series(
     readings: DataFrame, series: str, micros: str, price: str, size: str, day: Column | None = None,
-    step: int = 300, window: int = 12, rank: int = 3, tol: float = 1e-3, most: int = 20,
+    step: int = 300, window: int = 12, rank: int = 3, tol: float = 1e-6, most: int = 200,
 ) -> DataFrame:
     """One row per ``series``, day and ``step``-second slot between the day's first and last slot with a reading:
-    (series, slot_start epoch seconds, price, size, n, filled).
+    (series, slot_start epoch seconds, price, size, n, filled, converged).
 
     ``price`` is the size-weighted mean of the slot's readings, or the singular-spectrum imputation where there is
-    none; then ``filled`` is true, ``n`` 0 and ``size`` 0. ``day`` (of the slot start in column ``slot_start``)
+    none; then ``filled`` is true, ``n`` 0 and ``size`` 0. ``converged`` is false for all slots of a day whose
+    imputation hasn't settled to ``tol`` of its spread after ``most`` rounds. ``day`` (of the slot start in column ``slot_start``)
     splits a series; it defaults to the New York date. Readings without series, instant, positive price or positive
     size don't count. Repeated readings count as often as they occur, in the weights only. Empty input gives no
     rows. The first shuffle carries one row per slot and map task, so a hot series is reduced before it moves; a
-    group of the second one is a day's slots, at most 300.
+    group of the second one is a day's slots, at most 25 hours of them.
     """
-    if step < 300 or 86_400 % step:
-        raise ValueError("step must divide a day and be 300 s or more")
+    if step < 60 or 86_400 % step:
+        raise ValueError("step must divide a day and be 60 s or more: a day's slots make one matrix")
     slots = (
         readings.where(F.col(series).isNotNull() & F.col(micros).isNotNull() & (F.col(price) > 0) & (F.col(size) > 0) & ~F.isnan(price) & ~F.isnan(size))
         .select(
@@ -142,5 +177,5 @@ def regular_series(
     kind = readings.schema[series].dataType.simpleString()
     return packed.mapInArrow(
         _series_filler(window, rank, tol, most, step),
-        f"series {kind}, slot_start bigint, price double, size double, n bigint, filled boolean",
+        f"series {kind}, slot_start bigint, price double, size double, n bigint, filled boolean, converged boolean",
     )
