@@ -25,9 +25,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_working: dict[str, str] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path``, and the path as it takes it."""
+    jvm, context = spark._jvm, spark.sparkContext
+    held = jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(context._jsc.hadoopConfiguration()), held
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path nobody else uses below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path nobody else uses, in this application's working folder below the shared one. The working folder goes
+    when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _working:
+        _working[app] = f"{shared_dir(spark)}/work-{app}-{uuid.uuid4().hex}"
+        fs, path = _file_system(spark, _working[app])
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{_working[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what lies at ``path``, a path of ``fresh_path`` that no DataFrame reads any more."""
+    fs, held = _file_system(spark, path)
+    fs.delete(held, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
