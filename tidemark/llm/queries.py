@@ -71,7 +71,7 @@ WITH m AS (
     CASE WHEN regexp_matches(message_ts, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.]\d+)?Z$') AND try_cast(substr(message_ts, 1, 19) AS TIMESTAMP) IS NOT NULL
       THEN substr(message_ts, 1, 19) || rpad(regexp_extract(message_ts, '[.](\d+)Z', 1), 9, '0') END AS t
   FROM conversations_export WHERE cascade_id IS NOT NULL),
-s AS (SELECT *, CASE WHEN r IN ('user', 'human') THEN 0 WHEN r IN ('assistant', 'bot', 'ai', 'model') THEN 1 WHEN r IN ('tool', 'tool_result', 'function') THEN 2 WHEN r IN ('system', 'developer') THEN 3 END AS who,
+s AS (SELECT *, CASE WHEN r IN ('user', 'human', 'customer', 'end_user', 'prompter', 'person') THEN 0 WHEN r IN ('assistant', 'bot', 'ai', 'model', 'agent', 'gpt', 'chatbot', 'assistant_message') THEN 1 WHEN r IN ('tool', 'tool_result', 'tool_call', 'tool_use', 'function', 'function_call', 'tool_response', 'observation') THEN 2 WHEN r IN ('system', 'developer', 'sys', 'instruction') THEN 3 END AS who,
   coalesce(length(regexp_replace(content, '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FEFF}\x{AD}\x{180E}\x{61C}]', '', 'g')), 0) > 0 AS visible FROM m),
 once AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY c, t, content ORDER BY who, id) = 1),
 turns AS (SELECT *, lag(who) OVER w AS before, row_number() OVER w AS k, count(*) OVER (PARTITION BY c) AS n FROM once WHERE visible AND who <= 1 WINDOW w AS (PARTITION BY c ORDER BY t, who, id)),
