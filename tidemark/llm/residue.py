@@ -4,46 +4,56 @@ from __future__ import annotations
 
 import html
 import math
+import re
+import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.exemplars import LATIN, MASHED, PLACEHOLDERS, labelled
+from tidemark.llm.exemplars import CONCEPTS, PLACEHOLDERS, labelled
 
 #: How much of an exemplar's TF-IDF weight a passage window must hold.
 CONTAINED = 0.75
 #: Share of a text's passages, chrome left aside, from which residue is the main part of it.
 MAIN_PART = 0.5
-#: Terms by which an exemplar is retrieved: its heaviest ones.
-KEYS = 2
 #: Words that the open end of an exemplar takes in at most.
 SLOT_WORDS = 4
-#: A window of so many words of which all but one are made-up Latin is filler.
-LATIN_WINDOW, MASHED_WINDOW = 5, 3
+#: Long exemplars, of which any part may be taken: label -> (words of a window, how many of them the exemplar must hold,
+#: how many of these as they stand, not by their ending alone).
+PARTS = {"latin": (5, 3, 2), "mashed": (3, 3, 3)}
+#: Letters of a word's ending.
+ENDING = 3
 
-_TERM = regex.compile(r"\p{Han}|[\p{L}\p{M}]+|\p{N}+|©|«")
+_TERM = re.compile(r"[\u3400-\u9fff]|[^\W\d_\u3400-\u9fff]+|\d+|[©«]")
 _ZERO_WIDTH = regex.compile(r"[\u200b-\u200d\u2060\ufeff\u00ad]")
 _FENCE = regex.compile(r"(?ms)^?(```|~~~).*?(?:\1|\Z)")
-_TICKED = regex.compile(r"`[^`\n]{1,200}`")
+_TICKED = regex.compile(r"`[^`\n]+`")
 _INDENTED = regex.compile(r"(?m)^(?:\t| {4,})(?!at |File ).*$")
-_QUOTED = regex.compile(r"(?<![\w:\[{,])[\"“„»‘][^\"“”„\n]{2,120}[\"”“](?![\w])")
+_QUOTED = regex.compile(r"(?<![\w:\[{,])[\"“„»‘](?:(?![.!?…] )[^\"“”„\n]){2,}[\"”“](?![\w])")
 _PUNCTUATED = regex.compile(r"(?m)^\s*[{<].*$")
 _TAG = regex.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>|<\?xml[^<>]*\?>", regex.I)
-_HEX = regex.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b")
+_HEX = re.compile(r"\b[0-9a-f]{8,}\b")
 #: Where a passage ends: at a line break, after a sentence.
 _PASSAGE = regex.compile(r"[\r\n]+|(?<=[.!?…])\s+|(?<=[。！？])")
-_PLACEHOLDER = regex.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS), regex.I)
+_SHAPES = [(literals, regex.compile(p, regex.I)) for literals, p in PLACEHOLDERS]
 
 
 def terms(text: str) -> list[str]:
-    """The terms of a text: lower-case words, single Han characters, and for numbers ``4xx`` (an HTTP error) or ``#``."""
-    plain = html.unescape(_TAG.sub(" ", _HEX.sub("0", text)))
-    plain = plain.replace("’", "'").replace("'", "")
-    return [("4xx" if len(t) == 3 and t[0] in "45" else "#") if t.isdigit() else t for t in (m.group().lower() for m in _TERM.finditer(plain))]
+    """The terms of a text: lower-case words, words of one meaning by the name of that meaning, single Han characters,
+    and for numbers ``4xx`` (an HTTP error) or ``#``."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", _ZERO_WIDTH.sub("", text)).replace("’", "'")
+    text = _HEX.sub("0", text)
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    found, concept = _TERM.findall(text.replace("'", "").lower()), CONCEPTS.get
+    return [concept(t, t) if t[0] > "9" else "4xx" if len(t) == 3 and t[0] in "45" else "#" if t.isdigit() else t for t in found]
 
 
 def outside_code(text: str) -> str:
@@ -57,14 +67,24 @@ def outside_quotes(text: str) -> str:
 
 
 def has_placeholder(text: str) -> bool:
-    """Whether a placeholder stands unfilled in the running text, outside code and quotations."""
-    return bool(_PLACEHOLDER.search(outside_quotes(outside_code(text))))
+    """Whether a placeholder stands unfilled in the running text, outside code and quotations. The shapes to look for
+    are retrieved by the literals they can't be without."""
+    low = text.lower()
+    shapes = [p for literals, p in _SHAPES if any(x in low for x in literals)]
+    if not any(p.search(text) for p in shapes):
+        return False
+    running = outside_quotes(outside_code(text))
+    return any(p.search(running) for p in shapes)
 
 
 class ExemplarIndex:
-    """The labelled exemplars with their TF-IDF weights and an inverted index from their heaviest terms."""
+    """The labelled exemplars with their TF-IDF weights and an inverted index.
 
-    def __init__(self, documents: int = 0, frequency: dict[str, int] | None = None):
+    An exemplar is retrieved by its heaviest terms: so many that what is left of it is less than must be contained, so
+    a passage that holds enough of it can't be without one of them.
+    """
+
+    def __init__(self, documents: int = 0, frequency: dict[str, int] | None = None, exemplars: Iterable[tuple[str, str]] | None = None):
         frequency = frequency or {}
 
         def idf(t: str) -> float:
@@ -72,31 +92,55 @@ class ExemplarIndex:
 
         self.exemplars: list[tuple[str, dict[str, float], int, float, bool]] = []
         self.index: dict[str, list[int]] = defaultdict(list)
+        self.parts: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
+        long: dict[str, set[str]] = defaultdict(set)
         seen = set()
-        for label, text in labelled():
+        for label, text in labelled() if exemplars is None else exemplars:
             words = [t for t in terms(text.replace("*", " ")) if t != "#"]
-            if (label, tuple(words)) in seen:
+            if label in PARTS:
+                long[label].update(words)
+                continue
+            if not words or (label, tuple(words)) in seen:
                 continue
             seen.add((label, tuple(words)))
             weight = {t: idf(t) for t in words}
-            for t in sorted(weight, key=lambda t: (-weight[t], t))[:KEYS]:
+            left = sum(weight.values())
+            enough = CONTAINED * left
+            for t in sorted(weight, key=lambda t: (-weight[t], t)):
+                if left < enough - 1e-9:
+                    break
                 self.index[t].append(len(self.exemplars))
+                left -= weight[t]
             open_end = text.rstrip(".'\"").endswith("*")
-            self.exemplars.append((label, weight, len(weight), CONTAINED * sum(weight.values()), open_end))
-        self.latin, self.mashed = frozenset(LATIN), frozenset(MASHED)
+            self.exemplars.append((label, weight, len(weight), enough, open_end))
+        # what a tenth of the corpus (and twenty texts) says isn't peculiar to filler, nor is the ending of such a word
+        usual = {t for t in frequency if frequency[t] > max(20, documents / 10)}
+        for label, words in long.items():
+            if PARTS[label][2] == PARTS[label][0]:  # no endings count
+                self.parts[label] = frozenset(words), frozenset()
+                continue
+            endings = {w[-ENDING:] for w in words if len(w) > ENDING} - {w[-ENDING:] for w in usual}
+            self.parts[label] = frozenset(words - usual), frozenset(endings)
+        self.keys = frozenset(self.index).union(*(own for own, _ in self.parts.values()))
 
     @staticmethod
-    def vocabulary() -> set[str]:
+    def vocabulary(exemplars: Iterable[tuple[str, str]] | None = None) -> set[str]:
         """Every term whose document frequency matters."""
-        return {t for _, text in labelled() for t in terms(text)}
+        return {t for _, text in (labelled() if exemplars is None else exemplars) for t in terms(text)}
+
+    def _retrieved(self, present: set[str]) -> list[int]:
+        """The exemplars of which a text with these terms may hold enough."""
+        found = {e for t in self.keys & present for e in self.index.get(t, ())}
+        return [e for e in sorted(found) if sum(w for t, w in self.exemplars[e][1].items() if t in present) >= self.exemplars[e][3] - 1e-9]
+
+    def may_show(self, present: set[str]) -> bool:
+        """Whether a text with these terms can hold an exemplar or a part of a long one."""
+        return any(own & present for own, _ in self.parts.values()) or bool(self._retrieved(present))
 
     def _mark(self, words: list[str], marks: list[str | None], end_of: list[int]) -> None:
-        present = set(words)
         spots: dict[str, list[int]] | None = None
-        for e in sorted({e for t in present if t in self.index for e in self.index[t]}):
+        for e in self._retrieved(set(words)):
             label, weight, size, enough, open_end = self.exemplars[e]
-            if sum(w for t, w in weight.items() if t in present) < enough:
-                continue
             if spots is None:
                 spots = defaultdict(list)
                 for i, t in enumerate(words):
@@ -117,14 +161,17 @@ class ExemplarIndex:
                         if marks[k] in (None, "chrome"):
                             marks[k] = label
 
-    def _mark_filler(self, words: list[str], marks: list[str | None]) -> None:
+    def _mark_parts(self, words: list[str], marks: list[str | None]) -> None:
+        """Mark windows of which a long exemplar holds nearly all: its words in any order, or words that end as its do."""
         at = [i for i, t in enumerate(words) if t != "#"]
-        for label, bag, size, slack in (("latin", self.latin, LATIN_WINDOW, 1), ("mashed", self.mashed, MASHED_WINDOW, 0)):
-            inside = [words[i] in bag for i in at]
+        for label, (own, endings) in self.parts.items():
+            size, enough, sure = PARTS[label]
+            held = [2 if words[i] in own else 1 if len(words[i]) > ENDING and words[i][-ENDING:] in endings else 0 for i in at]
             for k in range(len(at) - size + 1):
-                if inside[k] and sum(inside[k : k + size]) >= size - slack:
+                window = held[k : k + size]
+                if window[0] and size - window.count(0) >= enough and window.count(2) >= sure:
                     for j in range(k, k + size):
-                        if inside[j]:
+                        if held[j]:
                             marks[at[j]] = label
 
     @staticmethod
@@ -160,7 +207,7 @@ class ExemplarIndex:
             ends.append(len(words))
         marks: list[str | None] = [None] * len(words)
         self._mark(words, marks, end_of)
-        self._mark_filler(words, marks)
+        self._mark_parts(words, marks)
         tally: dict[str, int] = defaultdict(int)
         start = 0
         for end in ends:
@@ -180,14 +227,16 @@ class ExemplarIndex:
         """The kind of residue a text shows, None if it shows none."""
         if has_placeholder(_ZERO_WIDTH.sub("", text)):
             return "placeholder"
+        if not self.may_show(set(terms(text))):
+            return None
         share, label = self.share(text)
         return label if share >= MAIN_PART else None
 
 
-def exemplar_index(documents: DataFrame, text: str) -> ExemplarIndex:
+def exemplar_index(documents: DataFrame, text: str, exemplars: list[tuple[str, str]] | None = None) -> ExemplarIndex:
     """The index with document frequencies counted over all texts, by the same ``terms`` that the matching reads. Only
     the exemplars' own terms are counted, and only their counts (a fixed number) reach the driver."""
-    wanted = frozenset(ExemplarIndex.vocabulary())
+    wanted = frozenset(ExemplarIndex.vocabulary(exemplars))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a row per term and task; the null term counts the texts
@@ -195,27 +244,31 @@ def exemplar_index(documents: DataFrame, text: str) -> ExemplarIndex:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 count[None] += 1
-                for term in wanted.intersection(terms(_ZERO_WIDTH.sub("", t))):
+                for term in wanted.intersection(terms(t)):
                     count[term] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["t", "count"])
 
     held = documents.select(F.col(text)).where(F.col(text).isNotNull())
     counts = held.mapInArrow(tally, "t string, count bigint").groupBy("t").agg(F.sum("count").alias("count"))
     frequency = {r["t"]: r["count"] for r in counts.collect()}
-    return ExemplarIndex(frequency.pop(None, 0), frequency)
+    return ExemplarIndex(frequency.pop(None, 0), frequency, exemplars)
 
 
-def residue_kinds(documents: DataFrame, key: str, text: str) -> DataFrame:
+def residue_kinds(documents: DataFrame, key: str, text: str, exemplars: list[tuple[str, str]] | None = None) -> DataFrame:
     """(``key``, kind) of every text that shows residue where content should be: ``placeholder`` if one is left
     unfilled in running text, else ``filler``, ``error`` or ``scripts`` if such text is its main part.
 
-    Exemplars are retrieved by their heaviest terms; a passage window that holds three quarters of an exemplar's
-    TF-IDF weight is marked, and a text is a case if half of its passages (sentences or lines) or more are residue,
-    what stands around every page left aside. Code and quotations are never residue. Null, empty and blank texts are no
+    ``exemplars`` is the labelled table, (label, text) with "*" for what differs from case to case; without it the
+    general ones of ``exemplars.py`` are used. An exemplar is retrieved by the terms it can't be without; a passage window
+    that holds three quarters of its TF-IDF weight is marked. Of long exemplars (made-up Latin, typed filler) any part
+    may be taken, so there the share of the window counts (``PARTS``). Placeholders are exemplars of shape, retrieved by
+    their literals. A text is a case if half of its passages (sentences or lines) or more are residue, what stands around
+    every page left aside. Code and quotations are never residue. Null, empty and blank texts are no
     cases; repeated rows give a row each; an empty table gives none. One pass counts document frequencies over the
-    whole corpus, the second reads every whole text; nothing is shuffled but the counts of the exemplars' terms.
+    whole corpus, the second reads every whole text; nothing is shuffled but the counts of the exemplars' terms. The
+    exemplars are broadcast: they are a table made by hand, and don't grow with the corpus.
     """
-    index = documents.sparkSession.sparkContext.broadcast(exemplar_index(documents, text))
+    index = documents.sparkSession.sparkContext.broadcast(exemplar_index(documents, text, exemplars))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
