@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.leakage import SEED, Matcher, SuffixAutomaton, aligned, holds_any_stretch, holds_stretch, leaked_items, words_of
+from tidemark.llm.leakage import SEED, Matcher, SuffixAutomaton, holds_any_stretch, leaked_items, words_of
 
 RNG = random.Random(11)
 VOCABULARY = [f"{a}{b}" for a in ("ba", "ke", "mo", "tri", "su", "pla") for b in ("ld", "nner", "sk", "tt", "zing", "ve", "rom")]
@@ -80,9 +80,12 @@ def test_seeds_are_all_common_runs():
 
 def test_stretches():
     same, other = np.arange(40), np.arange(100, 140)
-    assert holds_stretch(aligned(same, same)) and not holds_stretch(aligned(same, other))
-    assert not holds_stretch(aligned(same[:29], same[:29]))
-    assert holds_stretch(np.array([[1, 0]] * 25 + [[1, 1]] * 5)) and not holds_stretch(np.array([[1, 0]] * 24 + [[1, 1]] * 6))
+    assert holds_any_stretch(same, same) and not holds_any_stretch(same, other)
+    assert not holds_any_stretch(same[:29], same[:29])
+    five, six = same[:30].copy(), same[:31].copy()
+    five[3:28:5] = -1
+    six[3:29:5] = -1
+    assert holds_any_stretch(same[:30], five) and not holds_any_stretch(same[:31], six)
 
 
 def test_table(spark):

@@ -19,6 +19,8 @@ from tidemark.sources.scratch import materialise
 STRETCH, ONE_IN = 30, 6
 #: Shortest run of equal words that counts as a seed.
 SEED = 3
+#: Words of a text that the exact check looks at in one go, besides the reach of a stretch.
+WINDOW = 500
 #: Words of evaluation items in one automaton; more items make more automata, one after the other.
 BLOCK_WORDS = 1_000_000
 
@@ -129,43 +131,6 @@ class SuffixAutomaton:
         return np.repeat(np.array(at), [len(g) for g in got]), hits[:, 0], hits[:, 1]
 
 
-def aligned(passage: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """The best local alignment of two word sequences, as one step per row: (passage words consumed, edits)."""
-    n, m = len(passage), len(text)
-    ramp = np.arange(m + 1)
-    h = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(1, n + 1):
-        same = np.where(text == passage[i - 1], 2, -1)
-        row = np.zeros(m + 1, np.int32)
-        row[1:] = np.maximum(np.maximum(h[i - 1, :-1] + same, h[i - 1, 1:] - 1), 0)
-        h[i] = np.maximum.accumulate(row + ramp) - ramp
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    steps = []
-    while h[i, j] > 0:
-        if i and j and h[i, j] == h[i - 1, j - 1] + (2 if passage[i - 1] == text[j - 1] else -1):
-            steps.append((1, int(passage[i - 1] != text[j - 1])))
-            i, j = i - 1, j - 1
-        elif i and h[i, j] == h[i - 1, j] - 1:
-            steps.append((1, 1))
-            i -= 1
-        else:
-            steps.append((0, 1))
-            j -= 1
-    return np.array(steps[::-1], np.int64).reshape(-1, 2)
-
-
-def holds_stretch(steps: np.ndarray, stretch: int = STRETCH, one_in: int = ONE_IN) -> bool:
-    """Whether some part of an alignment consumes ``stretch`` passage words with at most one in ``one_in`` edited."""
-    if not len(steps):
-        return False
-    used = np.concatenate([[0], np.cumsum(steps[:, 0])])
-    score = used - one_in * np.concatenate([[0], np.cumsum(steps[:, 1])])
-    # the best start for an end is the lowest score among starts at least ``stretch`` words before it
-    lowest = np.minimum.accumulate(score)
-    start = np.searchsorted(used, used - stretch, side="right") - 1
-    return bool(((start >= 0) & (score >= lowest[np.maximum(start, 0)])).any())
-
-
 def longest_looked_at(stretch: int, one_in: int) -> int:
     """Longer stretches within the limit need no look of their own: one half is within it too, and long enough without
     the edits at the cut."""
@@ -224,35 +189,31 @@ class Matcher:
         at, item, end = self.automaton.seeds(words)
         if len(at) < self.least:
             return []
-        count = np.bincount(item, minlength=len(self.ids))
-        out, text_codes = [], None
-        for k in np.flatnonzero(count >= self.least):
-            mine = item == k
-            a, diagonal = at[mine], (at - end)[mine]
-            bucket = diagonal // self.band
-            for b in np.unique(np.concatenate([bucket, bucket - 1])):
-                near = (bucket == b) | (bucket == b + 1)
-                if near.sum() < self.least:
-                    continue
-                if text_codes is None:
-                    text_codes = np.array(words, np.int64)
-                passage = self.passages[k]
-                if self._confirmed(passage, text_codes, a[near], diagonal[near]):
-                    out.append(self.ids[k])
-                    break
+        # seeds by item and bucket of diagonals; two neighbouring buckets hold all those of a stretch
+        diagonal = (at - end) // self.band
+        low, wide = diagonal.min(), int(diagonal.max() - diagonal.min()) + 2
+        keys, count = np.unique(item * wide + diagonal - low, return_counts=True)
+        follows = np.append(keys[1:] == keys[:-1] + 1, False)
+        enough = keys[count + np.where(follows, np.append(count[1:], 0), 0) >= self.least]
+        out, codes = [], np.array(words, np.int64)
+        for key in enough.tolist():
+            k, b = divmod(key, wide)
+            if out and out[-1] == self.ids[k]:
+                continue
+            near = (item == k) & ((diagonal - low == b) | (diagonal - low == b + 1))
+            if self._confirmed(self.passages[k], codes, np.sort(at[near])):
+                out.append(self.ids[k])
         return out
 
-    def _confirmed(self, passage: np.ndarray, text: np.ndarray, at: np.ndarray, diagonal: np.ndarray) -> bool:
-        """The exact check, around each group of seeds that could belong to one occurrence of the passage."""
-        order = np.argsort(at)
-        at = at[order]
-        reach = len(passage) + len(passage) // self.one_in + 1
+    def _confirmed(self, passage: np.ndarray, text: np.ndarray, at: np.ndarray) -> bool:
+        """The exact check, around each group of seeds that could belong to one stretch."""
+        longest = longest_looked_at(self.stretch, self.one_in)
+        reach = longest + longest // self.one_in  # words of the text that a stretch can take up
         for part in np.split(at, np.flatnonzero(np.diff(at) > reach) + 1):
-            # an occurrence begins at most ``reach`` before its last seed and ends so far after its first
-            for lo in range(max(0, int(part[0]) - reach), int(part[-1]) + 1, reach):
-                window = text[lo : lo + 3 * reach]
-                # the best alignment may be that of another, more edited copy beside the stretch
-                if holds_stretch(aligned(passage, window), self.stretch, self.one_in) or holds_any_stretch(passage, window, self.stretch, self.one_in):
+            if len(part) < self.least:
+                continue
+            for lo in range(max(0, int(part[0]) - reach), int(part[-1]) + 1, WINDOW):
+                if holds_any_stretch(passage, text[lo : min(lo + WINDOW, int(part[-1])) + reach], self.stretch, self.one_in):
                     return True
         return False
 
@@ -267,8 +228,7 @@ def leaked_items(
 
     The passages' suffix automaton gives the longest matching run at every word of a text; runs of three words and
     more are the seeds. A stretch within the limits can't have fewer seeds near one diagonal than ``Matcher.least``,
-    so only texts with that many are aligned; where the best alignment holds none, every part of the passage is
-    compared with the window, so none is missed. The evaluation items are streamed to the driver in blocks of
+    so only around that many is every part of the passage compared with the text, and none is missed. The evaluation items are streamed to the driver in blocks of
     ``block_words`` words; one block's matcher at a time is built and broadcast, which bounds both whatever the number
     of items. The corpus is read once per block without a shuffle, and blocks before the last are written as they are
     done. Null, empty and blank texts
