@@ -93,6 +93,25 @@ def test_kalman_follows_a_shift_and_guards_hold():
         K.kalman(a, b, 1e-3, 0)
 
 
+@pytest.mark.parametrize("gate,clamp", [(None, None), (2.0, (0.5, 1.1))])
+def test_kalman_is_the_matrix_form(gate, clamp):
+    rng = np.random.default_rng(5)
+    b = np.cumsum(rng.normal(0, 0.01, 400))
+    a = 0.3 + 1.2 * b + rng.normal(0, 0.05, 400)
+    a[50], a[90] = np.nan, a[90] + 2
+    theta, p = np.array([0.0, 1.0]), np.eye(2) * 0.01
+    for i, got in enumerate(zip(*K.kalman(a, b, 1e-3, 0.01, gate, clamp))):
+        p, h, miss = p + np.eye(2) * 1e-5, np.array([1.0, b[i]]), np.nan
+        if not np.isnan(a[i]):
+            miss, s = a[i] - h @ theta, h @ p @ h + 0.01
+            if gate is None or miss**2 <= gate**2 * s:
+                k = p @ h / s
+                theta = theta + k * miss
+                theta[1] = np.clip(theta[1], *(clamp or (-np.inf, np.inf)))
+                p = (np.eye(2) - np.outer(k, h)) @ p @ (np.eye(2) - np.outer(k, h)).T + np.outer(k, k) * 0.01
+        assert np.allclose(got, [miss, *theta], atol=1e-12, equal_nan=True)
+
+
 def test_change_points():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(0, 0.1, 40), rng.normal(3, 0.1, 30), rng.normal(0, 0.1, 30)])
