@@ -46,6 +46,38 @@ def positions(z: np.ndarray, entry: float, exit_: float, stop: float | None = No
     return held, code
 
 
+def replay(
+    z: np.ndarray, entry: float, exit_: float, corr: np.ndarray | None = None, floor: float = -1.0, spread: np.ndarray | None = None,
+    mean: np.ndarray | None = None, dev: np.ndarray | None = None, moved: float | None = None, confirm: bool = False,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Positions replayed with exits of their own, and the exit code per bar: 1 the rule of ``positions``, 2 the rolling
+    correlation ``corr`` has fallen below ``floor``, 3 the rolling ``mean`` of the spread has moved against the position by
+    more than ``moved`` deviations since the entry.
+
+    After code 2 there is no entry until the plain signal has been flat; code 3 doesn't block. With ``confirm`` an entry
+    waits until abs(z) is below the one before it. The plain signal is that of ``positions`` and runs on by itself."""
+    signal, _ = positions(z, entry, exit_)
+    held, code = np.zeros(len(z), np.int64), np.zeros(len(z), np.int64)
+    now, blocked, at, last = 0, False, np.nan, np.nan
+    for i, v in enumerate(z):
+        if signal[i] == 0:
+            blocked = False
+        if now:
+            drift = np.nan if moved is None or mean is None else (mean[i] - at) * now
+            if corr is not None and corr[i] < floor:
+                now, code[i], blocked = 0, 2, signal[i] != 0
+            elif moved is not None and dev is not None and drift < -moved * dev[i]:
+                now, code[i] = 0, 3
+            elif signal[i] != now:
+                now, code[i] = 0, 1
+        elif signal[i] and not blocked and not np.isnan(v) and (not confirm or abs(v) < last):
+            now, at = int(signal[i]), np.nan if spread is None else spread[i]
+        if not np.isnan(v):
+            last = abs(v)
+        held[i] = now
+    return held, code
+
+
 def kalman(a: np.ndarray, b: np.ndarray, delta: float, noise: float, gate: float | None = None, clamp: tuple[float, float] | None = None, start: tuple[float, float] = (0.0, 1.0)):
     """Two-state filter of a = alpha + beta * b: (spread before the update, alpha, beta) per bar.
 

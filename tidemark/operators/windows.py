@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import materialise
+
 FLOOR = 1e-10
 
 
@@ -64,3 +66,22 @@ def compounded(r: Column, keys: list[str], order: list[str]) -> Column:
     """Running product of 1 + r, r clipped above -1; null returns count as 0."""
     step = F.ln(1 + F.greatest(F.coalesce(r, F.lit(0.0)), F.lit(-1 + 1e-9)))
     return F.exp(F.sum(step).over(over(keys, order, (Window.unboundedPreceding, 0))))
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` up to and with the row in ``order`` within ``keys`` (none: of all rows).
+
+    The rows are range-sorted by keys and order over all partitions and written once; a partition's sum by key is carried
+    on to the ones after it, so neither a hot key nor the whole table ends up in one task. ``order`` must be distinct
+    within a key."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = materialise(df.repartitionByRange(n, *keys, order).withColumn("__part", F.spark_partition_id()), "ranged")
+    by = ["__part", *keys]
+    parts = held.groupBy(*by).agg(F.sum(value).alias("__sum"))
+    earlier = over(keys, ["__part"], (Window.unboundedPreceding, -1))  # a row per key and partition it reaches into
+    parts = parts.select(*[F.col(k).alias(f"__{k}") for k in by], F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
+    within = F.sum(value).over(over(by, [order], (Window.unboundedPreceding, 0)))
+    joined = held.withColumn("__within", within).join(parts, on)
+    return joined.withColumn(name, F.col("__before") + F.col("__within")).select(*df.columns, name)

@@ -17,6 +17,7 @@ from tidemark.operators.asof import asof_backward, asof_many
 from tidemark.plans.registry import Registry
 from tidemark.plans.series import BARS, r6, returns
 from tidemark.sources.market import daily_panel, event_ticks, hourly_bars
+from tidemark.sources.scratch import materialise
 from tidemark.sources.tables import table
 
 query = Registry()
@@ -34,7 +35,8 @@ PAIR = ["ticker_a", "ticker_b"]
 
 def log_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of hourly log closes."""
-    return P.aligned_pairs(hourly_bars(spark, sf_dir).select("ticker", "ts", F.ln("close").alias("value")))
+    panel = materialise(hourly_bars(spark, sf_dir).select("ticker", "ts", F.ln("close").alias("value")), "panel")
+    return P.aligned_pairs(panel)  # the panel is read for either leg, and again wherever pairs meet their statistics
 
 
 def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +132,12 @@ def topk_pairs(spark, sf_dir):
     return p.withColumn("k", F.row_number().over(W.over(["fold"], ["p", "pair"]))).where("k <= 5").drop("k")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT fold, ticker_a, ticker_b, johansen_pval FROM pair_list),
+n AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY johansen_pval NULLS LAST, ticker_a, ticker_b) AS k FROM p),
+walk AS (SELECT fold, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS ticker_a, CAST(NULL AS VARCHAR) AS ticker_b, CAST(NULL AS DOUBLE) AS johansen_pval, false AS kept FROM (SELECT DISTINCT fold FROM p)
+  UNION ALL SELECT w.fold, n.k, CASE WHEN len(list_filter(w.used, lambda x: x = n.ticker_a)) < 2 AND len(list_filter(w.used, lambda x: x = n.ticker_b)) < 2 THEN w.used || [n.ticker_a, n.ticker_b] ELSE w.used END, n.ticker_a, n.ticker_b, n.johansen_pval,
+    len(list_filter(w.used, lambda x: x = n.ticker_a)) < 2 AND len(list_filter(w.used, lambda x: x = n.ticker_b)) < 2 FROM walk w JOIN n ON n.fold = w.fold AND n.k = w.k + 1)
+SELECT fold, ticker_a, ticker_b, johansen_pval FROM walk WHERE kept""")
 def ticker_cap(spark, sf_dir):
     """Greedy choice of each fold's pairs in order of p-value, a ticker at most twice."""
     p = table(spark, sf_dir, "pair_list").select("fold", "ticker_a", "ticker_b", "johansen_pval").distinct()
@@ -196,7 +203,20 @@ def trade_log(spark, sf_dir):
     )
 
 
-@query()
+#: The two-state filter, a bar a step; the covariance is carried in its three numbers.
+_FILTER = PAIRS.replace("WITH ticks", "WITH RECURSIVE ticks", 1) + """, bars_of AS (SELECT ticker_a, ticker_b, ts, a, b, row_number() OVER (PARTITION BY ticker_a, ticker_b ORDER BY ts) AS i FROM pairs),
+filter AS (SELECT ticker_a, ticker_b, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS DOUBLE) AS spread, 0.0::DOUBLE AS alpha, 1.0::DOUBLE AS beta, 1e-2::DOUBLE AS p00, 0.0::DOUBLE AS p01, 1e-2::DOUBLE AS p11 FROM (SELECT DISTINCT ticker_a, ticker_b FROM pairs)
+  UNION ALL SELECT ticker_a, ticker_b, i, ts, miss, alpha + k0 * miss, beta + k1 * miss,
+    (1 - k0) * ((1 - k0) * p00 - k0 * x * p01) - k0 * x * ((1 - k0) * p01 - k0 * x * p11) + k0 * k0 * 1e-2,
+    -k1 * ((1 - k0) * p00 - k0 * x * p01) + (1 - k1 * x) * ((1 - k0) * p01 - k0 * x * p11) + k0 * k1 * 1e-2,
+    -k1 * (-k1 * p00 + (1 - k1 * x) * p01) + (1 - k1 * x) * (-k1 * p01 + (1 - k1 * x) * p11) + k1 * k1 * 1e-2
+  FROM (SELECT *, (p00 + p01 * x) / s AS k0, (p01 + p11 * x) / s AS k1 FROM (SELECT *, p00 + 2 * p01 * x + p11 * x * x + 1e-2 AS s FROM (
+    SELECT n.ticker_a, n.ticker_b, n.i, n.ts, n.b AS x, n.a - f.alpha - f.beta * n.b AS miss, f.alpha, f.beta, f.p00 + 1e-6 AS p00, f.p01, f.p11 + 1e-6 AS p11
+    FROM filter f JOIN bars_of n ON n.ticker_a = f.ticker_a AND n.ticker_b = f.ticker_b AND n.i = f.i + 1))))
+"""
+
+
+@query(_FILTER + "SELECT ticker_a, ticker_b, ts, round(spread, 6) AS spread, round(alpha, 6) AS alpha, round(beta, 6) AS beta FROM filter WHERE i > 0")
 def kalman_spread(spark, sf_dir):
     """Filtered hedge ratio and spread of every pair."""
     k = K.with_kalman(log_pairs(spark, sf_dir), PAIR, ["ts"], "a", "b", 1e-4, 1e-2)
@@ -230,21 +250,23 @@ def change_points(spark, sf_dir):
     return d.groupBy("ticker").applyInPandas(find, "ticker string, day date")
 
 
-def residual_prices(panel: DataFrame, components: int = 5, least_tickers: int = 50, least_rows: int = 200) -> DataFrame:
-    """(ticker, ts, residual, residual_log_price, explained) of a panel (ticker, ts, value) after its leading principal
-    components.
-
-    Only complete tickers enter, those with a positive value at every time of the panel; below the minimums there are
-    no rows. The components are those of centred log returns, the projection takes the returns as they are. The
-    residuals are summed from the first log price, whose row has no residual; ``explained`` is the components' share of
-    the variance. The covariance is summed in Spark, its side is the number of complete tickers, and the loadings come
-    back as a small table.
-    """
-    spark, w = panel.sparkSession, W.over(["ticker"], ["ts"])
+def _complete_returns(panel: DataFrame) -> tuple[DataFrame, int]:
+    """(ticker, ts, x, r) of the tickers with a positive value at every time of a panel, and the number of its times:
+    log values and their changes."""
     p = panel.where("value > 0 and not isnan(value)").select("ticker", "ts", F.ln("value").alias("x"))
     n = panel.select("ts").distinct().count()
     p = p.join(p.groupBy("ticker").count().where(F.col("count") == n).select("ticker"), "ticker", "left_semi")
-    p = p.withColumn("r", F.col("x") - F.lag("x").over(w))
+    return p.withColumn("r", F.col("x") - F.lag("x").over(W.over(["ticker"], ["ts"]))), n
+
+
+def factor_loadings(panel: DataFrame, components: int, least_tickers: int, least_rows: int) -> tuple[DataFrame, float | None]:
+    """(ticker, w) of a panel's complete tickers, ``w`` their loadings on the leading principal components of centred log
+    returns, and the components' share of the variance. Below the minimums there are no rows.
+
+    The covariance is summed in Spark, its side is the number of complete tickers; the driver solves it, and the loadings
+    are a row per ticker, to be broadcast."""
+    spark = panel.sparkSession
+    p, n = _complete_returns(panel)
     kind = panel.schema["ticker"].dataType.simpleString()
     c = p.where("r is not null").withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy("ticker")))
     a, b = c.select(F.col("ticker").alias("i"), "ts", F.col("r").alias("x")), c.select(F.col("ticker").alias("j"), "ts", F.col("r").alias("y"))
@@ -256,7 +278,19 @@ def residual_prices(panel: DataFrame, components: int = 5, least_tickers: int =
     v = K.principal_residuals(m, components) if enough else np.zeros((components, 0))
     explained = float(np.trace(v @ m @ v.T) / np.trace(m)) if enough and np.trace(m) > 0 else None
     rows = [(int(t) if kind in ("int", "bigint") else t, [float(x) for x in v[:, k]]) for k, t in enumerate(names if enough else [])]
-    l = p.join(F.broadcast(spark.createDataFrame(rows, f"ticker {kind}, w array<double>")), "ticker")
+    return F.broadcast(spark.createDataFrame(rows, f"ticker {kind}, w array<double>")), explained
+
+
+def residual_prices(panel: DataFrame, components: int = 5, least_tickers: int = 50, least_rows: int = 200) -> DataFrame:
+    """(ticker, ts, residual, residual_log_price, explained) of a panel (ticker, ts, value) after its leading principal
+    components (see ``factor_loadings``).
+
+    The projection takes the returns as they are. The residuals are summed from the first log price, whose row has no
+    residual; ``explained`` is the components' share of the variance.
+    """
+    w = W.over(["ticker"], ["ts"])
+    loadings, explained = factor_loadings(panel, components, least_tickers, least_rows)
+    l = _complete_returns(panel)[0].join(loadings, "ticker")
     f = l.where("r is not null").groupBy("ts").agg(F.array(*[F.sum(F.col("w")[k] * F.col("r")) for k in range(components)]).alias("f"))
     held = sum((F.col("w")[k] * F.col("f")[k] for k in range(1, components)), F.col("w")[0] * F.col("f")[0])
     out = l.join(f, "ts", "left").withColumn("residual", F.col("r") - held)
