@@ -9,8 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.plans import problems, relations, research, series, validation
 
-SQL = entry.oracle_sql()
+MODULES = (series, relations, research, validation, problems)
+QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
+SQL = {n: q for m in MODULES for n, q in m.SQL.items()}
 
 
 def plain(v):
@@ -31,7 +34,7 @@ def duck(sf):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, sf, duck, name):
-    df = entry.queries()[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     cols = sorted(df.columns)
     rel = duck.execute(SQL[name])
     names = [d[0] for d in rel.description]
@@ -40,9 +43,13 @@ def test_same_as_sql(spark, sf, duck, name):
     assert Counter(tuple(plain(v) for v in row) for row in df.select(*cols).collect()) == wanted
 
 
-@pytest.mark.parametrize("name", ["johansen_trace", "ticker_cap", "kalman_spread", "rebalance_events", "change_points", "factor_residuals", "engle_granger", "noise_grid", "deflated_ratio", "p4_found", "p5_found", "p6_found", "p7_found"])
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
-    entry.queries()[name](spark, sf).collect()
+    QUERIES[name](spark, sf).collect()
+
+
+def test_entry_lists_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_flagship(spark, sf):

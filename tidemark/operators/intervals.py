@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import shared_dir
+from tidemark.sources.scratch import materialise, shared_dir
 
 _OUT = "kind string, entity {kind}, start_us bigint, end_us bigint"
 _SUMMARY = "part int, first {kind}, last {kind}, last_start bigint, last_end bigint"
@@ -103,7 +103,8 @@ def merged_periods(intervals: DataFrame, entity: str, start: str, end: str, part
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     # The range bounds are sampled: a checkpoint makes both passes see the same partitions.
-    held = valid.repartitionByRange(n, "e", "s", "t").sortWithinPartitions("e", "s", "t").checkpoint()
+    # They are sampled from a written table, so that what leads to the intervals runs once.
+    held = materialise(valid, "intervals").repartitionByRange(n, "e", "s", "t").sortWithinPartitions("e", "s", "t").checkpoint()
     rows = [tuple(r) for r in held.mapInArrow(_summarise, _SUMMARY.format(kind=kind)).collect()]
     carry, final = carried(rows), max((r[0] for r in rows), default=-1)
 

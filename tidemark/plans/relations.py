@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
+from tidemark.operators import gates as G
 from tidemark.operators import kernels as K
 from tidemark.operators import pairs as P
 from tidemark.operators import windows as W
@@ -400,7 +401,7 @@ SELECT l_suppkey, adv, CASE WHEN adv <= a THEN 'T1' WHEN adv <= b THEN 'T2' ELSE
 def adv_tertiles(spark, sf_dir):
     """Suppliers by tertile of volume, cut at interpolated quantiles."""
     v = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("adv"))
-    q = v.agg(F.percentile("adv", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
+    q = G.exact_quantiles(v.select(F.lit(1).alias("all"), F.col("adv").cast("double").alias("v")), "all", "v", [1 / 3, 2 / 3]).select(F.col("quantiles").alias("q"))
     tier = F.when(F.col("adv") <= F.col("q")[0], "T1").when(F.col("adv") <= F.col("q")[1], "T2").otherwise("T3")
     return v.join(F.broadcast(q)).select("l_suppkey", "adv", tier.alias("tier"))
 
