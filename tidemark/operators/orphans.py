@@ -9,11 +9,11 @@ from tidemark.sources.scratch import fresh_path
 from tidemark.sources.tables import broadcast_if_small
 
 REFERENCES = "link string, key string, src_table string, row_id bigint, at_us bigint"
-PARENTS = "parent_id bigint, link string, key string, from_us bigint"
+PARENTS = "parent_id string, link string, key string, from_us bigint"
 SPREAD = "l string, k string, from_us bigint, until_us bigint, s bigint"
 SETTLED = REFERENCES + ", settled int"
 REOPENED = "src_table string, row_id bigint, reopened int"
-DELETIONS = "parent_id bigint, link string, key string, until_us bigint"
+DELETIONS = "parent_id string, link string, key string, until_us bigint"
 #: References and parents meet within spans of this length, so that a hot key is split along time.
 SPAN_US = 30 * 86_400_000_000
 
@@ -28,7 +28,8 @@ class OrphanLedger:
     ``apply`` takes what has newly arrived, in any order and any grouping: new references probe the parent index,
     arriving parents resolve waiting orphans, deletions reopen settled references that nothing else supports.
     ``waiting()`` holds the orphans as of the last batch. A reference at time t is supported by a parent of the same
-    link and key with from <= t < until (no until: still there). Parents are rows identified by ``parent_id``;
+    link and key with from <= t < until (no until: still there). Parents are rows identified by ``parent_id``, a text
+    or number of the caller's (their own columns, not a hash, where they have no key);
     loading or deleting one again changes nothing, of several deletions the earliest counts. References without key
     or time are left out; those delivered twice stay two rows.
 
@@ -88,8 +89,9 @@ class OrphanLedger:
         """Take in one batch. The columns are those of ``REFERENCES``, ``PARENTS`` and ``DELETIONS``."""
         e, at = self.epoch, f"{self.root}/"
         references.where("key is not null and at_us is not null").write.parquet(f"{at}arrived/{e}")
-        parents.where("key is not null and from_us is not null").write.parquet(f"{at}parents/{e}")
-        deletions.where("until_us is not null").write.parquet(f"{at}deletions/{e}")
+        named = F.col("parent_id").cast("string")
+        parents.where("key is not null and from_us is not null").withColumn("parent_id", named).write.parquet(f"{at}parents/{e}")
+        deletions.where("until_us is not null").withColumn("parent_id", named).write.parquet(f"{at}deletions/{e}")
         fresh = self._read("arrived", REFERENCES, range(e, e + 1))
         all_parents, new_parents = self._read("parents", PARENTS, range(e + 1)), self._read("parents", PARENTS, range(e, e + 1))
         all_deletions, new_deletions = self._read("deletions", DELETIONS, range(e + 1)), self._read("deletions", DELETIONS, range(e, e + 1))

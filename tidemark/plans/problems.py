@@ -71,12 +71,12 @@ def orphan_ledger(spark: SparkSession, sf_dir: str) -> OrphanLedger:
     listed = pairs.select(
         F.lit("pair_list").alias("link"), pair_key("pair_id").alias("key"),
         F.unix_micros("loaded_ts").alias("from_us"), F.unix_micros("removed_ts").alias("until_us"),
-    ).withColumn("parent_id", F.xxhash64("link", "key", "from_us", "until_us"))
+    ).withColumn("parent_id", F.to_json(F.struct("link", "key", "from_us", "until_us")))
     # of a pair's positions only the first recorded one matters: reduced before it moves
     held = (
         positions.select(F.lit("positions").alias("link"), pair_key("pair_id").alias("key"), F.unix_micros("recorded_ts").alias("from_us"))
         .groupBy("link", "key").agg(F.min("from_us").alias("from_us"))
-        .withColumn("parent_id", F.xxhash64("link", "key"))
+        .withColumn("parent_id", F.to_json(F.struct("link", "key")))
     )
     parents = listed.select("parent_id", "link", "key", "from_us").unionByName(held.select("parent_id", "link", "key", "from_us"))
     return replay(spark, references, parents, listed.select("parent_id", "link", "key", "until_us"))
