@@ -119,6 +119,27 @@ def test_change_points():
     assert K.change_points(np.zeros(20), 1.0, 2) == []
 
 
+def test_change_points_are_the_best_segmentation():
+    """Against all segmentations by dynamic programming over the full kernel matrix, without pruning."""
+    rng = np.random.default_rng(2)
+    for k in range(8):
+        x = np.concatenate([rng.normal(m, 1, (12, 2)) for m in rng.integers(0, 6, 3)])
+        d = ((x[:, None] - x[None]) ** 2).sum(-1)
+        assert K.median_squared_distance(x, 5, 20) == pytest.approx(np.median(d[np.triu_indices(len(x), 1)]))
+        g = np.exp(-np.clip(d / np.median(d[np.triu_indices(len(x), 1)]), 1e-2, 1e2))
+        cost = lambda a, b: np.trace(g[a:b, a:b]) - g[a:b, a:b].sum() / (b - a)
+        best, back = [-1.0], [0]
+        for end in range(1, len(x) + 1):
+            costs = [best[a] + cost(a, end) + 1.0 if end - a >= 2 else np.inf for a in range(end)]
+            best.append(min(costs))
+            back.append(int(np.argmin(costs)))
+        at, wanted = len(x), []
+        while back[at]:
+            at = back[at]
+            wanted.append(at)
+        assert K.change_points(x, 1.0, 2) == wanted[::-1]
+
+
 def test_rebalances():
     beta = np.array([1.0, 1.02, 1.2, 1.21, 1.5, 2.0, 2.0])
     held = np.array([1, 1, 1, 1, 0, 1, 1])

@@ -126,27 +126,52 @@ def rebalances(beta: np.ndarray, held: np.ndarray, band: float) -> np.ndarray:
     return out
 
 
+def median_squared_distance(x: np.ndarray, block: int = 64, bins: int = 65_536) -> float:
+    """The median of the squared distances of all pairs of rows, in memory of ``block`` rows against all: distances are
+    counted in bins, and only those of the bins that hold the middle are kept."""
+    n = len(x)
+    places = [(n * (n - 1) // 2 - 1) // 2, n * (n - 1) // 2 // 2]
+
+    def distances():
+        for i in range(0, n, block):
+            d = ((x[i : i + block, None, :] - x[None, i:, :]) ** 2).sum(-1)
+            yield d[np.triu(np.ones(d.shape, bool), 1)]
+
+    most = max((d.max() for d in distances() if len(d)), default=0.0)
+    if not most:
+        return 0.0
+    bin_of = lambda d: np.minimum((d * (bins / most)).astype(np.int64), bins - 1)
+    count = sum(np.bincount(bin_of(d), minlength=bins) for d in distances())
+    upto = np.cumsum(count)
+    first, last = np.searchsorted(upto, places, side="right")
+    held = np.sort(np.concatenate([d[(k >= first) & (k <= last)] for d in distances() for k in [bin_of(d)]]))
+    return float(held[[q - (upto[first] - count[first]) for q in places]].mean())
+
+
 def change_points(x: np.ndarray, penalty: float, least: int = 1, gamma: float | None = None) -> list[int]:
     """Optimal segmentation with a Gaussian kernel cost and a penalty per change point, with pruning: the first bars of
-    all segments but the first. ``gamma`` defaults to one over the median squared distance."""
+    all segments but the first. ``gamma`` defaults to one over the median squared distance. The kernel is summed up bar
+    by bar for all starts at once, so memory grows with the bars, not with their square."""
     x = np.asarray(x, float).reshape(len(x), -1)
     n = len(x)
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
     if gamma is None:
-        off = d[np.triu_indices(n, 1)]
-        gamma = 1 / max(np.median(off) if len(off) else 1.0, 1e-12)
-    k = np.exp(-np.clip(gamma * d, 1e-2, 1e2))
-    total = np.zeros((n + 1, n + 1))
-    total[1:, 1:] = k.cumsum(0).cumsum(1)
-    diagonal = np.concatenate([[0], np.cumsum(np.diag(k))])
+        gamma = 1 / max(median_squared_distance(x) if n > 1 else 1.0, 1e-12)
+    block, own = np.zeros(n), np.exp(-1e-2)  # block[a]: kernel sum over [a, end) x [a, end); own: of a bar with itself
+
+    def take_in(bar: int) -> None:
+        row = np.exp(-np.clip(gamma * ((x[:bar] - x[bar]) ** 2).sum(-1), 1e-2, 1e2))
+        block[:bar] += 2 * row[::-1].cumsum()[::-1] + own
+        block[bar] = own
 
     def cost(a: int, b: int) -> float:
-        block = total[b, b] - total[a, b] - total[b, a] + total[a, a]
-        return diagonal[b] - diagonal[a] - block / (b - a)
+        return own * (b - a) - block[a] / (b - a)
 
     best, back, alive = np.full(n + 1, np.inf), np.zeros(n + 1, int), [0]
     best[0] = -penalty
+    for bar in range(min(least - 1, n)):
+        take_in(bar)
     for end in range(least, n + 1):
+        take_in(end - 1)
         usable = [s for s in alive if end - s >= least]
         costs = [best[s] + cost(s, end) + penalty for s in usable]
         at = int(np.argmin(costs))
