@@ -152,3 +152,28 @@ def test_projection(spark):
     wanted = logs[40] + np.vstack([np.zeros(7), np.cumsum(trade - trade @ w @ w.T, axis=0)])
     assert got.keys() == {(n, d) for n in names for d in range(40, 60)}
     assert all(got[n, d] == pytest.approx(wanted[d - 40, k]) for k, n in enumerate(names) for d in range(40, 60))
+
+
+@pytest.fixture
+def received(monkeypatch, spark):
+    """How many values the driver has received."""
+    kind, seen = type(spark.range(1)), []
+    for name, size in (("collect", lambda x: sum(map(len, x))), ("toPandas", lambda x: x.size), ("toArrow", lambda t: sum(len(c.combine_chunks().flatten()) if "list" in str(c.type) else len(c) for c in t.columns))):
+        plain = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, plain=plain, size=size: (got := plain(self), seen.append(size(got)))[0])
+    return seen
+
+
+@pytest.mark.parametrize("days,components", [(12, 3), (5, 5)])
+def test_projection_of_more_tickers_than_days(spark, received, days, components):
+    """The driver solves days by days; with five days the four returns leave three directions once they are centred."""
+    rng = np.random.default_rng(11)
+    x = np.cumsum(rng.normal(0, 0.1, (days + 6, 150)), axis=0)
+    df = spark.createDataFrame([(k, d, float(np.exp(v))) for (d, k), v in np.ndenumerate(x)], "ticker bigint, ts int, value double")
+    out = projected_residuals(df.where(F.col("ts") < days), df.where(F.col("ts") >= days), components, 5, 5)
+    assert sum(received) < 2 * days * days + 10
+    form, trade = np.diff(x[:days], axis=0), np.diff(x[days:], axis=0)
+    w = np.linalg.svd(form - form.mean(0), full_matrices=False)[2][: min(components, days - 2)].T
+    wanted = x[days] + np.vstack([np.zeros(150), np.cumsum(trade - trade @ w @ w.T, axis=0)])
+    got = out.toPandas().pivot(index="ts", columns="ticker", values="residual_log_price")
+    np.testing.assert_allclose(got.to_numpy(), wanted, atol=1e-8)

@@ -7,7 +7,7 @@ is that of its calendar, not of the data.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -184,6 +184,26 @@ def change_points(x: np.ndarray, penalty: float, least: int = 1, gamma: float |
     return out[::-1]
 
 
+def products(vectors: DataFrame) -> np.ndarray:
+    """The sum of ``v v'`` over the rows of ``vectors`` (v), all of one length; the driver receives the sum alone."""
+    schema = "i int, row array<double>"
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if len(b):
+                x = np.stack(b["v"].to_numpy())
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "row": [np.sum(np.stack(pdf["row"].to_numpy()), axis=0)]})
+
+    got = vectors.mapInPandas(part, schema).groupBy("i").applyInPandas(whole, schema).toArrow().sort_by("i").combine_chunks()
+    return np.asarray(got["row"].combine_chunks().flatten()).reshape(got.num_rows, -1 if got.num_rows else 0)
+
+
 def principal_residuals(covariance: np.ndarray, k: int) -> np.ndarray:
     """Loadings (k x n) of the leading principal components of a covariance matrix, signs fixed by the largest entry."""
     _, vectors = np.linalg.eigh(covariance)

@@ -19,7 +19,7 @@ from tidemark.plans.registry import Registry
 from tidemark.plans.series import BARS, r6, returns
 from tidemark.sources.market import daily_panel, event_ticks, hourly_bars
 from tidemark.sources.scratch import materialise
-from tidemark.sources.tables import table
+from tidemark.sources.tables import broadcast_if_small, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -251,35 +251,46 @@ def change_points(spark, sf_dir):
     return d.groupBy("ticker").applyInPandas(find, "ticker string, day date")
 
 
-def _complete_returns(panel: DataFrame) -> tuple[DataFrame, int]:
-    """(ticker, ts, x, r) of the tickers with a positive value at every time of a panel, and the number of its times:
-    log values and their changes."""
+def complete_returns(panel: DataFrame) -> tuple[DataFrame, int]:
+    """(ticker, ts, x, r, c) of the tickers with a positive value at every time of a panel, and the number of its times:
+    log values, their changes, and these less their ticker's mean. Written once, as all that follows reads it again."""
     p = panel.where("value > 0 and not isnan(value)").select("ticker", "ts", F.ln("value").alias("x"))
     n = panel.select("ts").distinct().count()
     p = p.join(p.groupBy("ticker").count().where(F.col("count") == n).select("ticker"), "ticker", "left_semi")
-    return p.withColumn("r", F.col("x") - F.lag("x").over(W.over(["ticker"], ["ts"]))), n
-
-
-def factor_loadings(panel: DataFrame, components: int, least_tickers: int, least_rows: int) -> tuple[DataFrame, float | None]:
-    """(ticker, w) of a panel's complete tickers, ``w`` their loadings on the leading principal components of centred log
-    returns, and the components' share of the variance. Below the minimums there are no rows.
-
-    The covariance is summed in Spark, its side is the number of complete tickers; the driver solves it, and the loadings
-    are a row per ticker, to be broadcast."""
-    spark = panel.sparkSession
-    p, n = _complete_returns(panel)
-    kind = panel.schema["ticker"].dataType.simpleString()
-    c = p.where("r is not null").withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy("ticker")))
-    a, b = c.select(F.col("ticker").alias("i"), "ts", F.col("r").alias("x")), c.select(F.col("ticker").alias("j"), "ts", F.col("r").alias("y"))
-    c = a.join(b, "ts").where("i <= j").groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("c")).toPandas()
-    names = sorted(set(c["i"]))
-    m = c.pivot(index="i", columns="j", values="c").reindex(index=names, columns=names).to_numpy()
-    m = np.where(np.isnan(m), m.T, m)
-    enough = len(names) >= max(least_tickers, components) and n >= least_rows
-    v = K.principal_residuals(m, components) if enough else np.zeros((components, 0))
-    explained = float(np.trace(v @ m @ v.T) / np.trace(m)) if enough and np.trace(m) > 0 else None
-    rows = [(int(t) if kind in ("int", "bigint") else t, [float(x) for x in v[:, k]]) for k, t in enumerate(names if enough else [])]
-    return F.broadcast(spark.createDataFrame(rows, f"ticker {kind}, w array<double>")), explained
+    p = p.withColumn("r", F.col("x") - F.lag("x").over(W.over(["ticker"], ["ts"])))
+    return materialise(p.withColumn("c", F.col("r") - F.avg("r").over(Window.partitionBy("ticker"))), "returns"), n
+
+
+def factor_loadings(complete: DataFrame, n: int, components: int, least_tickers: int, least_rows: int) -> tuple[DataFrame, float | None]:
+    """(ticker, w) of the tickers of ``complete_returns``, ``w`` their loadings on the leading principal components of
+    centred log returns, and the components' share of the variance. Below the minimums there are no rows.
+
+    The products of returns are summed in Spark, over the tickers if these outnumber the times, else over the times; the
+    driver solves a matrix whose side is the smaller of the two numbers. In the first case its vectors are weights of
+    times, from which Spark sums each ticker's loadings; a component beyond the returns' rank has none."""
+    spark = complete.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in complete.schema}
+    none = spark.createDataFrame([], f"ticker {kinds['ticker']}, w array<double>")
+    c = complete.where("c is not null and ts is not null").select("ticker", "ts", "c")
+    tickers = c.select("ticker").distinct().count()
+    if tickers < max(least_tickers, components) or n < least_rows:
+        return none, None
+    side, other = ("ts", "ticker") if n - 1 < tickers else ("ticker", "ts")
+    names = [x[0] for x in c.select(side).distinct().orderBy(side).collect()]
+    vector = F.transform(F.array_sort(F.collect_list(F.struct(side, "c"))), lambda x: x["c"])
+    m = K.products(c.groupBy(other).agg(vector.alias("v")).select("v"))
+    v = K.principal_residuals(m, min(components, len(names)))
+    held = np.einsum("ki,ij,kj->k", v, m, v)
+    explained = float(held.sum() / np.trace(m)) if np.trace(m) > 0 else None
+    if side == "ts":
+        real = held > len(names) * np.finfo(float).eps * held.max()
+        v = v * np.where(real, 1 / np.sqrt(np.where(real, held, 1.0)), 0.0)[:, None]
+        v = np.vstack([v, np.zeros((components - len(v), len(names)))])
+    rows = F.broadcast(spark.createDataFrame([(t, v[:, k].tolist()) for k, t in enumerate(names)], f"`{side}` {kinds[side]}, w array<double>"))
+    if side == "ticker":
+        return rows, explained
+    w = c.join(rows, "ts").groupBy("ticker").agg(F.array(*[F.sum(F.col("w")[k] * F.col("c")) for k in range(components)]).alias("w"))
+    return broadcast_if_small(materialise(w, "loadings")), explained
 
 
 def residual_prices(panel: DataFrame, components: int = 5, least_tickers: int = 50, least_rows: int = 200) -> DataFrame:
@@ -290,8 +301,9 @@ def residual_prices(panel: DataFrame, components: int = 5, least_tickers: int =
     residual; ``explained`` is the components' share of the variance.
     """
     w = W.over(["ticker"], ["ts"])
-    loadings, explained = factor_loadings(panel, components, least_tickers, least_rows)
-    l = _complete_returns(panel)[0].join(loadings, "ticker")
+    complete, n = complete_returns(panel)
+    loadings, explained = factor_loadings(complete, n, components, least_tickers, least_rows)
+    l = complete.join(loadings, "ticker")
     f = l.where("r is not null").groupBy("ts").agg(F.array(*[F.sum(F.col("w")[k] * F.col("r")) for k in range(components)]).alias("f"))
     held = sum((F.col("w")[k] * F.col("f")[k] for k in range(1, components)), F.col("w")[0] * F.col("f")[0])
     out = l.join(f, "ts", "left").withColumn("residual", F.col("r") - held)

@@ -14,10 +14,11 @@ from tidemark.operators import kernels as K
 from tidemark.operators import pairs as P
 from tidemark.operators import windows as W
 from tidemark.plans.registry import Registry
-from tidemark.plans.relations import PAIR, bootstrap_draws, factor_loadings, log_pairs, spreads
+from tidemark.plans.relations import PAIR, bootstrap_draws, complete_returns, factor_loadings, log_pairs, spreads
 from tidemark.plans.research import TRADE, WALK, holding, walked
 from tidemark.plans.series import BARS, returns
 from tidemark.sources.market import daily_panel, hourly_bars
+from tidemark.sources.scratch import materialise
 from tidemark.sources.tables import table
 
 query = Registry()
@@ -244,7 +245,7 @@ def negative_control(spark, sf_dir):
 @query()
 def factor_projection(spark, sf_dir):
     """Residual log prices after the last cut, by factor loadings of the days before it (see ``projected_residuals``)."""
-    d = daily_panel(spark, sf_dir)
+    d = materialise(daily_panel(spark, sf_dir).select("ticker", "ts", "value"), "panel")
     before = F.col("ts") < F.lit(CUTS[1]).cast("date")
     r = projected_residuals(d.where(before), d.where(~before), components=5, least_tickers=5, least_rows=5)
     return r.select("ticker", "ts", F.round("residual_log_price", 6).alias("residual_log_price"))
@@ -257,13 +258,10 @@ def projected_residuals(formation: DataFrame, trading: DataFrame, components: in
     are projected: each day's factors are the loadings' products with that day's returns, what they leave is summed from
     the ticker's first log price of the period (the re-anchor), so nothing of the period flows back. Panels below the
     minimums give no rows."""
-    loadings = factor_loadings(formation, components, least_tickers, least_rows)[0]
+    loadings = factor_loadings(*complete_returns(formation), components, least_tickers, least_rows)[0]
     w = W.over(["ticker"], ["ts"])
-    n = trading.select("ts").distinct().count()
-    p = trading.where("value > 0 and not isnan(value)").select("ticker", "ts", F.ln("value").alias("x"))
-    p = p.join(p.groupBy("ticker").count().where(F.col("count") == n).select("ticker"), "ticker", "left_semi")
-    p = p.withColumns({"r": F.col("x") - F.lag("x").over(w), "anchor": F.first("x").over(w)}).join(loadings, "ticker")
+    p = complete_returns(trading)[0].join(loadings, "ticker")
     f = p.where("r is not null").groupBy("ts").agg(F.array(*[F.sum(F.col("w")[k] * F.col("r")) for k in range(components)]).alias("f"))
     fit = sum((F.col("w")[k] * F.col("f")[k] for k in range(components)), F.lit(0.0))
     x = p.join(f, "ts", "left").withColumn("e", F.coalesce(F.col("r") - fit, F.lit(0.0)))
-    return x.select("ticker", "ts", (F.col("anchor") + F.sum("e").over(w)).alias("residual_log_price"))
+    return x.select("ticker", "ts", (F.first("x").over(w) + F.sum("e").over(w)).alias("residual_log_price"))
