@@ -60,6 +60,19 @@ def test_residual_prices(spark):
     assert residual_prices(df).count() == residual_prices(df, 5, 12, 7).count() == residual_prices(df.limit(0), 5, 6, 7).count() == 0
 
 
+def test_residuals_of_more_tickers_than_days(spark, monkeypatch):
+    """What the driver receives grows with the days, not with the tickers."""
+    kind, seen = type(spark.range(1)), []
+    for name in ("collect", "toPandas", "toArrow"):
+        plain = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, plain=plain: (got := plain(self), seen.append(len(got)))[0])
+    x = np.exp(np.cumsum(np.random.default_rng(12).normal(0.01, 0.1, (9, 120)), axis=0))
+    rows = [(k, i, float(v)) for (i, k), v in np.ndenumerate(x)]
+    out = residual_prices(spark.createDataFrame(rows, "ticker bigint, ts int, value double"), 5, 6, 7)
+    assert sum(seen) < 50
+    assert check_residuals(out.toPandas(), pd.DataFrame(rows, columns=["ticker", "ts", "value"]), 5) == 120
+
+
 def test_factor_residuals_are_the_users(spark):
     sf = "/root/testdata/sf0.1"
     if not os.path.isdir(sf):
