@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.spikes import away_and_back, halo, implausible, normal_levels, robust_low_rank, suspect_cells, typical_steps
+from tidemark.operators.spikes import away_and_back, halo, implausible, local_features, looked_at, normal_levels, robust_low_rank, suspect_cells, typical_steps
 
 LIMITS = {"t|x": 20.0, "b|x": 20.0}
 RUNS = {"t|x": ("readings", 10), "b|x": ("sessions", 5)}
@@ -148,3 +148,30 @@ def test_typical_step_is_the_exact_median(spark):
     got = {r["series"]: r["typical"] for r in typical_steps(df, counts).collect()}
     assert got == {k: float(np.median(v)) for k, v in steps.items()}
     assert typical_steps(df.limit(0), counts.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("partitions,batch", [(1, 10_000), (5, 30), (40, 3)])
+def test_the_exact_rule_looks_at_suspect_cells_alone(spark, partitions, batch):
+    """What isn't suspect isn't computed; what is has its true distance, over batches, partitions and cells."""
+    level = drifting(np.random.default_rng(3), 30, 24)
+    level[7, [2, 9, 15]] += 0.1
+    level[12:14, 9] -= 0.1
+    level = np.append(level.ravel(), level.ravel()[::-1])
+    series, k = np.divmod(np.arange(1440), 720)
+    rows = [(f"t|x|{s}", int(i), int(r), float(np.exp(x)), float(x), int(i // 24), int(i // 24), int(i % 24 // 2), True) for r, (s, i, x) in enumerate(zip(series, k, level))]
+    df = spark.createDataFrame(rows, "series string, ord bigint, row_id bigint, value double, level double, day int, cell_row int, cell_col int, by_day boolean")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        cells = local_features(df)[0].where("kind = 'cell'")
+        held = cells.select("series", "cell_row", "cell_col", "high", "low").toPandas().groupby(["series", "cell_row", "cell_col"], as_index=False).agg({"high": "max", "low": "min"})
+        found = pd.concat(suspect_cells(x.assign(typical=0.001, limit=20.0)) for _, x in held.groupby("series"))
+        got = looked_at(cells, spark.createDataFrame(found, "series string, cell_row int, cell_col int, score double")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = set(zip(found["series"], found["cell_row"], found["cell_col"]))
+    inside = [r[2] for r in rows if (r[0], r[6], r[7]) in wanted]
+    dev = got.groupby("row_id")["dev"].max()
+    assert sorted(dev.index) == inside and 0 < len(inside) < 0.3 * len(rows)
+    np.testing.assert_array_equal(dev.to_numpy(), away_and_back(level, series)[inside])

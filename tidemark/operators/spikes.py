@@ -1,8 +1,8 @@
 """Implausible readings: spikes, stuck values and impossible values, per source (problem 7).
 
 A source's readings make a matrix of daily profiles: a row per day, for each time of day the highest and the lowest
-level seen there. Robust principal components separate its low-rank normal behaviour from a sparse rest; the cells that
-stand out of the normal are the ones whose readings the exact rule looks at. Runs of equals are tested apart.
+level seen there. Robust principal components separate its low-rank normal behaviour from a sparse rest; the exact rule is
+computed for the readings of the cells that stand out of the normal, and for no others. Runs of equals are tested apart.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import materialise
+from tidemark.sources.tables import broadcast_if_small
 
 #: Readings away from the level for at most this many readings are a spike.
 BACK_WITHIN = 3
 #: Readings at either end of a partition that are finished together with its neighbours.
 _EDGE = 2 * BACK_WITHIN
+#: Suspect cells are broadcast up to this many (some megabytes): the cells' rows they meet hold all levels.
+_SMALL_SUSPECTS = 100_000
 #: Bits of a step by which steps are counted in the scan, and in every round after it (of 64 in all).
 _FIRST_BITS, _ROUND_BITS = 19, 15
 
@@ -65,11 +68,12 @@ def halo(x: np.ndarray, series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _LOCAL = (
-    "kind string, series string, row_id bigint, day int, cell_row int, cell_col int, dev double, bits bigint, run bigint, "
-    "edge boolean, part int, pos bigint, value double, level double, by_day boolean, high double, low double, n bigint"
+    "kind string, series string, row_id bigint, day int, cell_row int, cell_col int, bits bigint, run bigint, edge boolean, part int, "
+    "pos bigint, value double, level double, by_day boolean, high double, low double, ids array<bigint>, levels array<double>, lead int, n bigint"
 )
 _FIELDS = [x.split() for x in _LOCAL.split(", ")]
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+_ARROW |= {f"array<{t}>": pa.list_(_ARROW[t]) for t in ("bigint", "double")}
 
 
 def _rows(kind: str, size: int, /, **columns) -> pa.RecordBatch:
@@ -88,12 +92,22 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
+def _around(code: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where the readings ``a`` to ``b`` reach with the neighbours that ``away_and_back`` compares them with."""
+    low, high = a.copy(), b.copy()
+    for k in range(1, BACK_WITHIN + 1):
+        low -= (a >= k) & (code[np.maximum(a - k, 0)] == code[a])
+        high += (b - 1 + k < len(code)) & (code[np.minimum(b - 1 + k, len(code) - 1)] == code[b - 1])
+    return low, high
+
+
 class _Scan:
     """One range partition of sorted readings, batch by batch. What it keeps is the last readings, of which six wait
     for those to come, the label of the open run, and how often each step occurs in the series at hand.
 
-    Gives a row per reading (distance from the neighbours, step from the reading before, label of the run of equals it
-    belongs to), per cell (highest and lowest level in and beside it) and per size of step (how often).
+    Gives a row per reading (step from the reading before, label of the run of equals it belongs to), per cell (highest and
+    lowest level in and beside it, its readings and their levels with those of ``lead`` neighbours before and some after) and
+    per size of step (how often). A cell that goes on in the next batch gives several rows.
     The partition's first and last readings are edges and keep their values, to be finished with their neighbours.
     """
 
@@ -134,15 +148,21 @@ class _Scan:
             edge = (at < _EDGE) | (last & (at >= self.done + n - _EDGE))
             yield _rows(
                 "reading", len(at), **{c: here.column(c).combine_chunks() for c in ("series", "row_id", "day", "cell_row", "cell_col")},
-                dev=away_and_back(level, code)[out], bits=pa.array(bits[out], mask=~same[out]),
+                bits=pa.array(bits[out], mask=~same[out]),
                 run=pa.array((np.int64(self.part) << 40) + label, mask=alone[out] & ~edge), edge=edge, part=np.full(len(at), self.part, np.int32), pos=at,
                 value=pa.array(value[out], mask=~edge), level=pa.array(level[out], mask=~edge), by_day=by_day[out],
             )
             row, col = np.asarray(here.column("cell_row")), np.asarray(here.column("cell_col"))
             starts = _starts(code[out], row, col)
+            bounds = np.append(starts, len(at))
+            begin, end = _around(code, self.first + bounds[:-1], self.first + bounds[1:])
+            offsets = np.append(0, np.cumsum(end - begin))
+            around = np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], end - begin)
             yield _rows(
                 "cell", len(starts), series=here.column("series").combine_chunks().take(pa.array(starts)), cell_row=row[starts], cell_col=col[starts],
                 high=np.maximum.reduceat(high[out], starts), low=np.minimum.reduceat(low[out], starts),
+                ids=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), here.column("row_id").combine_chunks().cast(pa.int64())),
+                levels=pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(level[around])), lead=self.first + starts - begin,
             )
             starts = _starts(code[out])
             for a, b in zip(starts, np.append(starts[1:], len(at))):
@@ -169,9 +189,35 @@ def _local_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from scan.feed(None)
 
 
+_LOOKED_AT = "series string, row_id bigint, score double, dev double"
+
+
+def _exact_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``away_and_back`` of the readings of cells (series, ids, levels, lead, score), a row per reading."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids, levels = b.column("ids"), b.column("levels")
+        held, sizes = (np.asarray(x.value_lengths()) for x in (ids, levels))
+        cell = np.repeat(np.arange(len(held)), held)
+        dev = away_and_back(np.asarray(levels.flatten()), np.repeat(np.arange(len(sizes)), sizes))
+        at = np.arange(len(cell)) + np.repeat(np.cumsum(sizes) - sizes + np.asarray(b.column("lead")) - (np.cumsum(held) - held), held)
+        of = pa.array(cell)
+        yield pa.RecordBatch.from_arrays([b.column("series").take(of), ids.flatten(), b.column("score").take(of), pa.array(dev[at])], names=["series", "row_id", "score", "dev"])
+
+
+def looked_at(cells: DataFrame, suspects: DataFrame) -> DataFrame:
+    """(series, row_id, score, dev) of the readings of suspect cells, ``dev`` how far each lies away by ``away_and_back``.
+
+    ``cells`` are the cells' rows of ``local_features``. A reading at the end of a partition comes twice, the second time
+    with its neighbours in the next one: the further of its distances counts."""
+    near = cells.where("ids is not null").join(suspects, ["series", "cell_row", "cell_col"])
+    return near.select("series", "ids", "levels", "lead", "score").mapInArrow(_exact_pass, _LOOKED_AT)
+
+
 def _finish_edges(edges: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame, dict[int, int]]:
-    """The partitions' edge readings with their distances and steps across partitions, the levels they add to cells,
-    the steps across partitions, and which run labels are the continuation of which run."""
+    """The partitions' edge readings with their steps across partitions, the levels and neighbours they add to cells, the
+    steps across partitions, and which run labels are the continuation of which run."""
     if edges.empty:
         return edges, edges, edges, {}
     edges = edges.sort_values(["part", "pos"], ignore_index=True)
@@ -181,20 +227,22 @@ def _finish_edges(edges: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, pd.D
     code = pd.factorize(edges["series"])[0]
     same = np.append(False, code[1:] == code[:-1]) & joined
     across = same & np.append(False, part[1:] != part[:-1])
-    dev, high, low = edges["dev"].to_numpy().copy(), level.copy(), level.copy()
+    high, low = level.copy(), level.copy()
+    begin, end = np.arange(len(edges)), np.arange(1, len(edges) + 1)
     for a in np.split(np.arange(len(edges)), np.flatnonzero(~joined)):
         if len(a):
-            dev[a] = np.maximum(dev[a], away_and_back(level[a], code[a]))
             high[a], low[a] = halo(level[a], code[a])
+            begin[a], end[a] = (a[0] + x for x in _around(code[a], a - a[0], a - a[0] + 1))
     step = np.abs(np.diff(level, prepend=level[0])).view(np.int64)
     bits = [int(step[i]) if across[i] else None if pd.isna(b) else int(b) for i, b in enumerate(edges["bits"])]
     roots: dict[int, int] = {}
     for i in np.flatnonzero(across):
         if value[i] == value[i - 1] and (not by_day[i] or day[i] == day[i - 1]):
             roots[int(run[i])] = roots.get(int(run[i - 1]), int(run[i - 1]))
-    cells = edges[["series", "cell_row", "cell_col"]].assign(high=high, low=low)
+    cells = edges[["series", "cell_row", "cell_col"]].assign(high=high, low=low, lead=np.arange(len(edges)) - begin)
+    cells["ids"], cells["levels"] = [[int(i)] for i in edges["row_id"]], [level[a:b].tolist() for a, b in zip(begin, end)]
     steps = pd.DataFrame({"series": edges["series"].to_numpy()[across], "bits": step[across] >> (64 - _FIRST_BITS), "n": 1})
-    return edges.assign(dev=dev, bits=pd.array(bits, dtype=object)), cells, steps, roots
+    return edges.assign(bits=pd.array(bits, dtype=object)), cells, steps, roots
 
 
 def robust_low_rank(m: np.ndarray, tol: float = 1e-4, most: int = 60) -> np.ndarray:
@@ -320,8 +368,7 @@ def implausible(readings: DataFrame, limits: dict[str, float], run_of: dict[str,
     ``readings`` as in ``local_features``, with ``series`` = ``table|field|source``. ``limits`` gives by ``table|field``
     how many of its source's typical steps a spike lies away; ``run_of`` whether a run of equals is measured in
     ``sessions`` or ``readings`` and how long a stuck one is. The typical step of a source is the exact median of its
-    absolute log steps. Spikes are the readings of the cells that robust principal components set apart, held against
-    the exact rule. Repeated readings count as readings; sources of one or two readings have no spikes; no input gives
+    absolute log steps. Robust principal components set cells apart; the exact rule is computed for their readings alone. Repeated readings count as readings; sources of one or two readings have no spikes; no input gives
     no rows.
     """
     local, merged = local_features(readings, written)
@@ -337,10 +384,10 @@ def implausible(readings: DataFrame, limits: dict[str, float], run_of: dict[str,
         .join(typical, "series").withColumn("limit", by_kind(limits))
     )
     suspects = cells.groupBy("series").applyInPandas(lambda pdf: suspect_cells(pdf), "series string, cell_row int, cell_col int, score double")
+    suspects = broadcast_if_small(materialise(suspects, "suspects"), _SMALL_SUSPECTS)
     spikes = (
-        of["reading"].where("dev > 0").join(typical, "series")
+        looked_at(of["cell"], suspects).where("dev > 0").join(typical, "series")
         .where(F.col("dev") > by_kind(limits) * F.col("typical"))
-        .join(suspects, ["series", "cell_row", "cell_col"])
         .select("series", "row_id", "score")
     )
     in_runs = (
